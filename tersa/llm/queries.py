@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tersa.llm.common import table
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from tersa.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path())
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tersa.llm.mixing import mix
 
@@ -21,4 +27,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_mixing": op6_mixing, "op7_sharding": op7_sharding}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """The tokenizer file of the box; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
+    "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_quality_rules": op8_quality_rules,
+}
