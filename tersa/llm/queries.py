@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tersa.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from tersa.llm.bpe import encode_documents
 
@@ -33,6 +39,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """The tokenizer file of the box; operators take its path as a parameter."""
     import public_tokenizers
@@ -41,8 +53,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
 }
