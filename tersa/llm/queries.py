@@ -15,6 +15,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.near_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from tersa.llm.bpe import encode_documents
 
@@ -54,6 +60,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_dedup": op2_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
