@@ -21,6 +21,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from tersa.llm.bpe import encode_documents
 
@@ -61,6 +67,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
+    "op3_fingerprints": op3_fingerprints,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
