@@ -27,6 +27,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from tersa.llm.bpe import encode_documents
 
@@ -57,6 +63,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tersa.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """The tokenizer file of the box; operators take its path as a parameter."""
     import public_tokenizers
@@ -68,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
+    "op10_warc": op10_warc,
 }
