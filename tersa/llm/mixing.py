@@ -45,35 +45,51 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     )
 
 
-def copies_plan(docs: DataFrame, cap: int = CAP, seed: str = SEED, run: int = RUN) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies per row of docs; see mix()."""
-    rows = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    rows = rows.withColumn("class", size_class(F.col("size")))
-    aims = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cap), "mix-targets")
+def copies_plan(docs: DataFrame, cap: int = CAP, seed: str = SEED, run: int = RUN, carry: bool = False) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies (and row, a struct of all columns of docs, if asked for); see mix()."""
+    named = [F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")]
+    sizes = materialize(docs.select(*named), "mix-sizes").withColumn("class", size_class(F.col("size")))
+    aims = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), cap), "mix-targets")
     # a class of many rows is salted by the id, so that no task ranks more than about `run` rows
-    classes = rows.groupBy(F.col("source").alias("c_source"), F.col("class").alias("c_class")).agg(F.ceil(F.count("*") / run).cast("long").alias("salts"))
-    salted = rows.join(classes, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))).select(
-        "doc_id", "source", "size", "class", F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("salts")).alias("salt")
-    )
+    classes = sizes.groupBy(F.col("source").alias("c_source"), F.col("class").alias("c_class")).agg(F.ceil(F.count("*") / run).cast("long").alias("salts"))
+    classes = materialize(classes, "mix-classes")
+
+    def salted(rows: DataFrame) -> DataFrame:
+        salt = F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("salts")).alias("salt")
+        joined = rows.join(classes, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")))
+        return joined.select(*rows.columns, salt)
+
     key = ["source", "class", "salt"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
-    counts = salted.groupBy(*key).agg(F.count("*").alias("n"))
+    counts = salted(sizes).groupBy(*key).agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = starts.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranked = salted.withColumn("rank", rank).alias("r")
-    s = starts.alias("s")
-    placed = ranked.join(s, on=F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.class") == F.col("s.class")) & (F.col("r.salt") == F.col("s.salt")))
+    rows = docs.select(*named, F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumn("class", size_class(F.col("size"))) if carry else sizes
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
+    ranked = salted(rows).withColumn("rank", rank).alias("r")
+    placed = ranked.join(starts.alias("s"), on=F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.class") == F.col("s.class")) & (F.col("r.salt") == F.col("s.salt")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    whole = F.least(F.floor(ratio), F.lit(cap)).cast("long")
-    part = F.least(F.floor((ratio - F.floor(ratio)) * UNIT), F.lit(UNIT - 1)).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("r.source"), F.lit("\x00null")))), 1, 7), 16, 10).cast("long") * 8
-    # the running sum after this document, modulo 1: it is less than the piece itself just if an integer was crossed
-    crossed = F.when(F.col("part") > 0, (F.pmod(F.col("offset") + F.col("part") * F.pmod(F.col("nth"), F.lit(UNIT)), F.lit(UNIT)) < F.col("part")).cast("long")).otherwise(F.lit(0))
     out = placed.select(
-        "r.doc_id", "r.size", "r.source", "source_size", "target", whole.alias("whole"), part.alias("part"), offset.alias("offset"), (F.col("start") + F.col("rank")).cast("long").alias("nth")
+        *[f"r.{c}" for c in ("doc_id", "size", "source")],
+        "source_size",
+        "target",
+        F.least(F.floor(ratio), F.lit(cap)).cast("long").alias("whole"),
+        F.least(F.floor((ratio - F.floor(ratio)) * UNIT), F.lit(UNIT - 1)).cast("long").alias("part"),
+        offset.alias("offset"),
+        (F.col("start") + F.col("rank")).cast("long").alias("nth"),
+        *(["r.row"] if carry else []),
     )
-    return out.select("doc_id", "size", "source", "source_size", "target", F.least(F.col("whole") + crossed, F.lit(cap)).cast("long").alias("copies"))
+    # the running sum after this document, modulo 1, is less than the piece itself just if an integer was crossed
+    sum_after = F.pmod(F.col("offset") + F.col("part") * F.pmod(F.col("nth"), F.lit(UNIT)), F.lit(UNIT))
+    copies = F.least(F.col("whole") + (sum_after < F.col("part")).cast("long"), F.lit(cap)).cast("long")
+    return out.withColumn("copies", copies).drop("whole", "part", "offset", "nth")
+
+
+def emit(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of docs, all columns, as many times as it is drawn."""
+    plan = copies_plan(docs, cap, seed, carry=True).filter("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:

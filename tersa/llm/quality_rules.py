@@ -10,11 +10,12 @@ prior's mean. A document that breaks two soft rules is rejected, on bad hosts on
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import map_columns, materialize
+from tersa.llm.common import bounded_batches, map_columns, materialize
 
 SPACES, SYMBOLS, WINDOW = "\t\n\x0b\x0c\r ", "#*$%&|<>", 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -97,6 +98,11 @@ def soft_failures() -> Column:
     return sum((r.cast("int") for r in rules), F.lit(0))
 
 
+def verdict() -> Column:
+    """Whether a document is kept: it breaks no base rule and fewer than two soft ones, none on a bad host."""
+    return ~base_failed() & (soft_failures() < F.when(F.col("host_bad"), 1).otherwise(2))
+
+
 def host_verdicts(counted: DataFrame, bad_rate: float = BAD_RATE, margin: float = MARGIN) -> DataFrame:
     """host, host_docs, host_failed, host_rate, host_bad: one row per host (null is a host), from counts of all documents.
 
@@ -128,6 +134,23 @@ def judge(docs: DataFrame, bad_rate: float = BAD_RATE, margin: float = MARGIN) -
         counted.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
         .withColumn("base_failed", base_failed())
         .withColumn("soft_failures", soft_failures())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("soft_failures") < F.when(F.col("host_bad"), 1).otherwise(2)))
+        .withColumn("kept", verdict())
         .select("doc_id", "source", *COUNTS.replace(" long", "").split(", "), "base_failed", "soft_failures", "host_rate", "host_bad", "kept")
     )
+
+
+def keep_good(docs: DataFrame, bad_rate: float = BAD_RATE, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, all columns, that judge() keeps. Texts are counted again rather than shuffled to meet a verdict."""
+    counted = materialize(with_counts(docs), "quality-counts")
+    hosts = materialize(host_verdicts(counted, bad_rate, margin), "quality-hosts").select(F.col("host"), F.col("host_bad"))
+
+    @F.pandas_udf(COUNTS)
+    def counts(texts):
+        hashes = _Hashes()
+        return pd.DataFrame([count_text(t, hashes) for t in texts], columns=COUNTS.replace(" long", "").split(", "))
+
+    bounded_batches(docs.sparkSession)
+    # the rows travel as one struct, so that no column of theirs can clash with the rules'
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), counts(docs["text"]).alias("c")).select("row", "c.*")
+    joined = rows.join(hosts, F.col("row.source").cast("string").eqNullSafe(F.col("host")), "left")
+    return joined.filter(verdict()).select("row.*")
