@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tersa.functions.text import CODE_EXTENSIONS, extension, strip
+from tersa.functions.text import CODE_EXTENSIONS, ascii_bounds, extension, strip
 
 #: What the probes look for.
 HTML_DOCTYPE, HTML_CLOSING, HTML_OPENING = r"(?i)<!doctype\s+html", r"(?i)</([a-z][a-z0-9-]*)\s*>", r"(?i)<([a-z][a-z0-9-]*)(?:\s[^<>]*)?/?>"
@@ -86,10 +86,10 @@ def looks_like_yaml(text: Column) -> Column:
 def python_counts(text: Column) -> Column:
     """struct(counted, strong, weak, barred): lines of the Python probe, comments aside."""
     lines = F.filter(lines_with_text(text), lambda x: ~x.rlike(r"^[ \t]*#"))
-    barred = F.filter(lines, lambda x: x.rlike(PY_NOT))
-    others = F.filter(lines, lambda x: ~x.rlike(PY_NOT))
+    barred = F.filter(lines, lambda x: x.rlike(ascii_bounds(PY_NOT)))
+    others = F.filter(lines, lambda x: ~x.rlike(ascii_bounds(PY_NOT)))
     strong = F.filter(others, lambda x: x.rlike(PY_STRONG))
-    weak = F.filter(others, lambda x: ~x.rlike(PY_STRONG) & x.rlike(PY_WEAK))
+    weak = F.filter(others, lambda x: ~x.rlike(PY_STRONG) & x.rlike(ascii_bounds(PY_WEAK)))
     return F.struct(F.size(lines).alias("counted"), F.size(strong).alias("strong"), F.size(weak).alias("weak"), F.size(barred).alias("barred"))
 
 

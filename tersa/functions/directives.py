@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tersa.functions.text import strip
+from tersa.functions.text import ascii_bounds, strip
 
 #: Keywords of instruction; the two of them that may narrate; irregular past forms.
 KEYWORD = r"(?i)\b(must(?:\s+not)?|never|always|only\s+if|do\s+not|required|except\s+when|make\s+sure\s+to|critical)\b"
@@ -18,6 +18,7 @@ PAST = (
 NARRATIVE = rf"(?i)\b(?:have|has|had)\s+(?:\w+\s+){{0,2}}{MAY_NARRATE}\b|\b{MAY_NARRATE}\s+(?:have|has|had)\b|\b{MAY_NARRATE}\s+(?:\w+ed|{'|'.join(PAST)})\b"
 PROSE_TYPES = ("text", "markdown", "logs", "unknown")
 SEGMENT = r"([^.!?;]+[.!?;]?)"
+_KEYWORD, _NARRATIVE = ascii_bounds(KEYWORD), ascii_bounds(NARRATIVE)
 
 
 def prose_regions(text: Column, content_type: Column) -> Column:
@@ -47,18 +48,18 @@ def prose_regions(text: Column, content_type: Column) -> Column:
 
 
 def keyword_hits(segment: Column) -> Column:
-    return F.regexp_extract_all(segment, F.lit(KEYWORD), F.lit(1))
+    return F.regexp_extract_all(segment, F.lit(_KEYWORD), F.lit(1))
 
 
 def is_directive(segment: Column) -> Column:
     """A segment with a keyword, unless all its keywords may narrate and it is told in the past."""
     only_narrative = F.forall(keyword_hits(segment), lambda k: k.rlike(rf"(?i)^{MAY_NARRATE}\z"))
-    return segment.rlike(KEYWORD) & ~(only_narrative & segment.rlike(NARRATIVE))
+    return segment.rlike(_KEYWORD) & ~(only_narrative & segment.rlike(_NARRATIVE))
 
 
 def directives(text: Column) -> Column:
     """Instructing segments in order, repeated ones as often as they occur."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: x.rlike(KEYWORD))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: x.rlike(_KEYWORD))
 
     def segments(line: Column) -> Column:
         bare = strip(line)
@@ -80,4 +81,4 @@ def keywords(found: Column) -> Column:
 
 def has_keyword(text: Column) -> Column:
     """Any keyword anywhere, whatever it is used for."""
-    return text.rlike(KEYWORD)
+    return text.rlike(_KEYWORD)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tersa.functions.directives import prose_regions
-from tersa.functions.text import BRAND, strip
+from tersa.functions.text import BRAND, ascii_bounds, strip
 
 #: Patterns of what counts as a symbol, and names that are no methods.
 JS_FUNCTION, PY_FUNCTION = r"(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][A-Za-z0-9_$]*)", r"def\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -23,7 +23,7 @@ JS_FROM, JS_CALL = r"""\b(?:import|export)\s+(?:[\s\S]*?\s+from\s+)?['"]([^'"]+)
 
 
 def every(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(group))
 
 
 def tagged(tag: str, names: Column) -> Column:
@@ -96,7 +96,7 @@ def exports(text: Column, language: Column) -> Column:
     declared = every(text, r"\bexport\s+(?:async\s+)?(?:const|let|var|function|class|interface|type|enum)\s+([A-Za-z_$][\w$]*)")
     lists = F.flatten(F.transform(every(text, r"\bexport\s*\{([^}]*)\}"), lambda x: F.split(x, ",")))
     named = F.filter(F.transform(lists, lambda x: F.element_at(F.split(strip(x), r"\s+as\s+"), -1)), lambda x: x != "")
-    default = F.when(text.rlike(r"\bexport\s+default\b"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
+    default = F.when(text.rlike(ascii_bounds(r"\bexport\s+default\b")), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>"))
     public = F.filter(every(text, r"(?m)^(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w*)"), lambda x: ~x.startswith("_"))
     listed = every(F.regexp_extract(text, r"(?s)__all__\s*=\s*[\[(](.*?)[\])]", 1), r"['\"]([^'\"]+)['\"]")
     return F.array_distinct(F.when(language == "python", F.concat(public, listed)).otherwise(F.concat(declared, named, default)))

@@ -36,6 +36,11 @@ PLAIN_LANGUAGES = ("json", "yaml", "html", "markdown", "logs", "text")
 CODE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "cjs", "mjs", "py", "go", "rs", "java", "c", "cpp", "h", "hpp", "sh", "ps1", "css", "scss", "sql")
 
 
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with \b between ASCII word characters and others only, as patterns here mean it; Java's own looks at all letters."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends (trim() knows spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
@@ -137,7 +142,7 @@ def marker_refs(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct lower-case words."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\b\w+\b)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -155,12 +160,12 @@ RESERVED = tuple(
 
 def key_symbols(text: Column) -> Column:
     """Distinct identifiers of two characters or more that are not reserved."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_]\w+)\b"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_bounds(r"\b([A-Za-z_]\w+)")), F.lit(1)))
     return F.filter(found, lambda w: ~F.lower(w).isin(*RESERVED))
 
 
 def symbol_preservation(before: Column, after: Column) -> Column:
     """Share of the prompt's identifiers that the output still has as words; 1 if there are none."""
     keys = key_symbols(before)
-    words = F.array_distinct(F.regexp_extract_all(after, F.lit(r"(\b\w+\b)"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(after, F.lit(r"(\w+)"), F.lit(1)))
     return F.when(F.size(keys) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(keys, words)) / F.size(keys))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tersa.functions import symbols as S
 from tersa.functions import text as T
+from tersa.storage import materialize
 
 #: What may follow an import's path, in this order; scores by distance, workspace state and kind.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")
@@ -42,29 +43,20 @@ def distances(edges_: DataFrame, sources: DataFrame, max_hops: int = MAX_HOPS) -
 
     A frontier is joined a hop a round, for all bundles at once; nodes reached once are left out, so rounds end at the longest distance.
     """
-    spark = edges_.sparkSession
     both = edges_.select("bundle_id", F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = both.unionByName(both.select("bundle_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    frontier = sources.select("bundle_id", "path").distinct().withColumn("distance", F.lit(0)).persist()
-    reached, held = frontier, [both, frontier]
+    both = materialize(both.unionByName(both.select("bundle_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
+    frontier = materialize(sources.select("bundle_id", "path").distinct().withColumn("distance", F.lit(0)), "graph-frontier")
+    reached = frontier
     for hop in range(1, max_hops + 1):
-        step = frontier.join(both, (frontier["bundle_id"] == both["bundle_id"]) & (frontier["path"] == both["a"])).select(both["bundle_id"], F.col("b").alias("path")).distinct()
-        frontier = step.join(reached, ["bundle_id", "path"], "left_anti").withColumn("distance", F.lit(hop)).persist()
-        held.append(frontier)
+        here = frontier.select("bundle_id", F.col("path").alias("a"))
+        step = here.join(both, ["bundle_id", "a"]).select("bundle_id", F.col("b").alias("path")).distinct()
+        frontier = materialize(step.join(reached, ["bundle_id", "path"], "left_anti").withColumn("distance", F.lit(hop)), "graph-frontier")
         if not frontier.head(1):
             break
         reached = reached.unionByName(frontier)
-        if hop % 8 == 0:  # plans grow by a join a hop
-            reached = _cut(spark, reached)
     return reached
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.persist()
-    return df.checkpoint()
-
-
 def scores(items: DataFrame, reached: DataFrame, status: DataFrame) -> DataFrame:
     """items with distance, score: by distance, status (path, state: dirty or recent), kind, role and constraints; 1 to 100."""
     d = items.join(reached, ["bundle_id", "path"], "left").join(status, "path", "left")

@@ -18,9 +18,9 @@ SELECT CAST(floor(doc_id / 50) AS BIGINT) AS bundle_id, CAST(doc_id AS BIGINT) A
   CASE doc_id % 6
     WHEN 0 THEN concat(text, ' You must keep row ', CAST(doc_id AS STRING), '. Do not  drop it!')
     WHEN 1 THEN concat(text, ' It has never failed in run ', CAST(doc_id AS STRING), '. We always shipped it.')
-    WHEN 2 THEN concat('import os', chr(10), 'from p.m_', CAST(floor(doc_id / 2) AS BIGINT), ' import fn_0', chr(10), chr(10), '# never call fn_', CAST(doc_id AS STRING), ' twice', chr(10),
+    WHEN 2 THEN concat('import os', chr(10), 'from p.m_', CAST(6 * floor(doc_id / 12) + 2 AS BIGINT), ' import fn_0', chr(10), chr(10), '# never call fn_', CAST(doc_id AS STRING), ' twice', chr(10),
       'def fn_', CAST(doc_id AS STRING), '(x):', chr(10), '    v = "', repeat('value of a row ', 6 + CAST(doc_id % 11 AS INT)), '"', chr(10), '    return v', chr(10))
-    WHEN 3 THEN concat('import { a } from "./m_', CAST(floor(doc_id / 2) AS BIGINT), '";', chr(10), 'export function fn_', CAST(doc_id AS STRING), '(x: string): string {', chr(10),
+    WHEN 3 THEN concat('import { a } from "./m_', CAST(6 * floor(doc_id / 12) + 3 AS BIGINT), '";', chr(10), 'export function fn_', CAST(doc_id AS STRING), '(x: string): string {', chr(10),
       '  const v = "', repeat('value of a row ', 6 + CAST(doc_id % 11 AS INT)), '";', chr(10), '  return v;', chr(10), '}', chr(10), 'export const limit_', CAST(doc_id AS STRING), ' = 1;', chr(10))
     WHEN 4 THEN concat('12:00:', lpad(CAST(doc_id % 60 AS STRING), 2, '0'), ' ERROR ', replace(text, chr(10), ' '))
     ELSE concat('# Doc ', CAST(doc_id AS STRING), chr(10), chr(10), '- ', text, chr(10), '---', chr(10)) END AS content

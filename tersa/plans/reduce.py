@@ -17,6 +17,7 @@ from tersa.functions import text as T
 from tersa.functions.tokens import token_estimate
 from tersa.operators import metrics, scanners
 from tersa.operators.elision import bundle_tokens, eligibility, has_symbols, token_ceiling
+from tersa.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -191,10 +192,10 @@ def fall_back(items: DataFrame, verdict: DataFrame) -> DataFrame:
 
 def reduce_bundles(items: DataFrame, budget: Budget) -> DataFrame:
     """items after elision, check, one repair and fallback, with original_content, reverted and passed."""
-    ratio = budget.target_reduction_ratio or 0.0
-    elided = elide_bodies(items, ratio, budget.preserve_kinds).persist()
-    repaired = repair(elided, issues(elided)).persist()
-    return fall_back(repaired, verdicts(repaired, issues(repaired)))
+    elided = materialize(elide_bodies(items, budget.target_reduction_ratio or 0.0, budget.preserve_kinds), "reduce-elided")
+    repaired = materialize(repair(elided, issues(elided)), "reduce-repaired")
+    verdict = materialize(verdicts(repaired, issues(repaired)), "reduce-verdicts")
+    return fall_back(repaired, verdict)
 
 
 def trace(reduced: DataFrame) -> DataFrame:

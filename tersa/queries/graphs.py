@@ -9,8 +9,8 @@ from tersa.operators import graph
 from tersa.plans.recipes import items, with_items
 from tersa.queries import query
 
-#: A graph over all files in one bundle: file n imports file n / 2, as the recipes write it.
-FILES = "f AS (SELECT ord, path, CAST(floor(ord / 2) AS BIGINT) AS target FROM items WHERE content_type = 'code'), e AS (SELECT a.path AS src, b.path AS dst FROM f a JOIN f b ON b.ord = a.target AND right(a.path, 3) = right(b.path, 3) AND a.ord <> b.ord)"
+#: A graph over all files in one bundle: a file imports that of its language at half its number, as the recipes write it.
+FILES = "f AS (SELECT ord, path, CAST(6 * floor(ord / 12) + ord % 6 AS BIGINT) AS target FROM items WHERE content_type = 'code'), e AS (SELECT a.path AS src, b.path AS dst FROM f a JOIN f b ON b.ord = a.target AND a.ord <> b.ord)"
 
 
 def files(spark, sf_dir):
