@@ -269,7 +269,7 @@ def regions(text: str, language: str | None, keep_docstrings: bool = False, leas
 
 
 def statements(text: str, start: int, end: int, language: str) -> list[tuple[int, int]]:
-    """A body's statements at its own depth; none unless they cover three quarters of it."""
+    """A body's statements at its own depth; none unless they cover three quarters of its text."""
     body, cuts = text[start:end], []
     if language == "python":
         first = None
@@ -298,4 +298,4 @@ def statements(text: str, start: int, end: int, language: str) -> list[tuple[int
                 cuts.append((start + first, start + e))
                 first = None
     size = sum(e - s for s, e in cuts)
-    return cuts if len(cuts) > 1 and size * 4 >= len(body.strip()) * 3 else []
+    return cuts if len(cuts) > 1 and size * 4 >= len("".join(body.split())) * 3 else []

@@ -34,8 +34,12 @@ def turn_metrics(stream: DataFrame) -> DataFrame:
 SEEN = "session_id long, turn long, ord long, hash string, seen boolean"
 
 
-def seen_state(stream: DataFrame, most: int = MOST_HASHES, idle_ms: int = 3_600_000) -> DataFrame:
-    """Streaming: session_id, turn, ord, hash, seen of (session_id, turn, ord, content); seen looks at earlier turns only."""
+def seen_state(stream: DataFrame, most: int = MOST_HASHES, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """Streaming: session_id, turn, ord, hash, seen of (session_id, turn, ord, content); seen looks at earlier turns only.
+
+    With idle_ms a session that had no turn for so long is forgotten; such a query always has a next batch, so runs that are
+    to end by themselves (availableNow) take None.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -56,7 +60,8 @@ def seen_state(stream: DataFrame, most: int = MOST_HASHES, idle_ms: int = 3_600_
             while len(known) > most:
                 known.pop(next(iter(known)))
         state.update((list(known), list(known.values())))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "turn", "ord", "hash", "seen"])
 
-    return hashed.groupBy("session_id").applyInPandasWithState(step, SEEN, "hashes array<string>, turns array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hashed.groupBy("session_id").applyInPandasWithState(step, SEEN, "hashes array<string>, turns array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
