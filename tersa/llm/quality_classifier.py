@@ -59,7 +59,7 @@ class Model:
         hashes = _Hashes()
 
         def score(texts: list[str | None]) -> list[float]:
-            x = (np.array([text_figures(t, hashes) for t in texts]).reshape(len(texts), -1) - self.centre) / self.scale
+            x = (np.array([text_figures(t, hashes) for t in texts]) - self.centre) / self.scale
             return (1 / (1 + np.exp(-np.clip(x @ self.coefficients[:-1] + self.coefficients[-1], -12, 12)))).tolist()
 
         return score
@@ -78,8 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Model:
         return step
 
     rows = map_columns(sample.select("text", "y"), make, "x array<double>, y int").collect()  # 12 numbers for each sampled document
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
+    if len(set(y)) < 2:
         return Model(np.zeros(12), np.ones(12), np.zeros(13), 0.5)
     centre, scale = x.mean(0), x.std(0) + 1e-9
     w = fit_logistic((x - centre) / scale, y)

@@ -206,7 +206,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     counted = map_columns(sample.select("text", "y"), make, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     pure = (F.col("toxic") / n_toxic) / (F.col("toxic") / n_toxic + F.col("clean") / n_clean) >= PURITY
     counted = materialize(counted, "toxicity-terms")
-    tried = counted.filter("toxic >= 3").count()
+    tried = counted.count()
     found = counted.filter(pure & (F.col("toxic") >= 3)).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()
     share = n_toxic / (n_toxic + n_clean)
 
@@ -252,7 +252,7 @@ class Model:
         w = self.coefficients
 
         def score(texts: list[str | None]) -> list[float]:
-            x = np.array([features(t, weights) for t in texts]).reshape(len(texts), -1)
+            x = np.array([features(t, weights) for t in texts])
             return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).tolist()
 
         return score
@@ -274,8 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
         return step
 
     rows = map_columns(sample.select("text", "y"), make, "x array<double>, y int").collect()  # bounded: a few numbers for each sampled document
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), -1), np.array([r["y"] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
+    if len(set(y)) < 2:
         return Model(entries, np.array([0.0] * (len(KINDS) + 1) + [-3.0]))
     w = fit_logistic(x, y)
     w[:-1] = np.maximum(w[:-1], 0)  # no match may speak for a text
