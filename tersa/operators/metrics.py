@@ -91,3 +91,28 @@ def bench_summary(runs: DataFrame, *groups: str) -> DataFrame:
         F.sum("issues").alias("issues"),
         p95(F.col("latency")).alias("latency_p95"),
     )
+
+
+def check_coverage(items: DataFrame) -> DataFrame:
+    """bundle_id, checked, unchecked, unchecked_types, languages, reducible: what the balance checks and region selectors can speak for."""
+    from tersa.operators.scanners import validator
+
+    c = items.withColumn("check", validator(F.col("language"), F.col("path"), F.col("content_type")))
+    return c.groupBy("bundle_id").agg(
+        F.count("check").alias("checked"),
+        F.count_if(F.col("check").isNull()).alias("unchecked"),
+        F.sort_array(F.collect_set(F.when(F.col("check").isNull(), F.col("content_type")))).alias("unchecked_types"),
+        F.sort_array(F.collect_set("language")).alias("languages"),
+        F.bool_or(F.coalesce(F.col("language").isin("python", "typescript"), F.lit(False))).alias("reducible"),
+    )
+
+
+def wire_metrics(before: Column, after: Column) -> tuple[Column, Column]:
+    """(tokens saved, never below 0; their share of what there was)."""
+    saved = F.greatest(F.lit(0).cast("long"), before - after)
+    return saved, F.when(before > 0, saved / before).otherwise(F.lit(0.0))
+
+
+def percent(share: Column) -> Column:
+    """A share as text with two places."""
+    return F.concat(F.format_number(share * 100, 2), F.lit("%"))

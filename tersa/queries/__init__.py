@@ -24,4 +24,4 @@ def query(oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tersa.queries import aggregates, graphs, joins, scalars, selection, stages  # noqa: F401
+    from tersa.queries import aggregates, graphs, joins, more, scalars, selection, stages  # noqa: F401
