@@ -81,3 +81,33 @@ def p22_json_markers(spark, sf_dir):
     wrapped = i.select("ord", text.wrap_json_marker(text.elision_marker(F.col("content"), text.noun(F.col("content_type")))).alias("j"))
     refs = text.marker_refs(text.unwrap_json_marker(F.col("j")))
     return wrapped.select("ord", F.element_at(refs, 1).alias("ref"), F.size(refs).alias("n"))
+
+
+@query(with_items("SELECT bundle_id, CAST(0 AS BIGINT) AS no_savings, CAST(0 AS BIGINT) AS structured_content, count(*) FILTER (content_type = 'code' OR regexp_matches(content, 'def\\s+[A-Za-z_]|(class|interface|type|enum|struct)\\s+[A-Za-z_$]|function\\s+[A-Za-z_$]|(public|private|protected|async|static|get|set)\\s+[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(')) AS has_symbols FROM items WHERE length(content) > 90 GROUP BY bundle_id"))
+def a17_skip_reasons(spark, sf_dir):
+    from tersa.plans.stages import skip_reasons
+
+    return skip_reasons(items(spark, sf_dir).filter("length(content) > 90")).drop("tokens_at_stake")
+
+
+@query()
+def k4_a18_t2_prune(spark, sf_dir):
+    """Bundles pruned to 60 % of their tokens by graph, state, kind and constraints; what stays and how near it is."""
+    from tersa.plans.stages import mean_distance, prune
+
+    i = items(spark, sf_dir)
+    changed = i.filter("path IS NOT NULL AND ord % 97 = 0").select("bundle_id", "path")
+    status = i.filter("path IS NOT NULL AND ord % 13 = 0").select("path", F.lit("recent").alias("state"))
+    return mean_distance(prune(i, changed, status, 0.4))
+
+
+@query(with_items("SELECT item_id, content_type = 'markdown' OR content_type = 'text' AS same FROM items WHERE content_type IN ('markdown', 'text', 'logs') AND length(content) > 400"))
+def t4_delta(spark, sf_dir):
+    """Logs gain a line over their base version, long ones by a shorter delta; the others are as they were."""
+    from tersa.plans.stages import delta
+
+    i = items(spark, sf_dir).filter("content_type IN ('markdown', 'text', 'logs') AND length(content) > 400").withColumn("origin", F.lit(None).cast("string"))
+    now = i.withColumn("content", F.when(F.col("content_type") == "logs", F.concat("content", F.lit("\n12:00:00 INFO end"))).otherwise(F.col("content")))
+    # the context of a one-line log is the log itself, so a delta saves nothing and the item is left as it is
+    d = delta(now, i).join(now.select("item_id", "content_type"), "item_id")
+    return d.select("item_id", ((F.col("content_type") != "logs") & F.col("delta").isNull()).alias("same"))
