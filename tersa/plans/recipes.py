@@ -28,7 +28,7 @@ FROM {documents}
 """
 #: Sessions of blocks: turn k holds block k of 20 documents, block k - 1 again, and a second copy of some of it.
 TURNS = """
-SELECT session_id, turn, row_number() OVER (PARTITION BY session_id, turn ORDER BY part, doc_id) AS ord, doc_id, text AS content FROM (
+SELECT session_id, turn, CAST(row_number() OVER (PARTITION BY session_id, turn ORDER BY part, doc_id) AS BIGINT) AS ord, doc_id, text AS content FROM (
   SELECT CAST(floor(doc_id / 100) AS BIGINT) AS session_id, CAST(floor(doc_id / 20) AS BIGINT) % 5 AS turn, 0 AS part, doc_id, text FROM {documents}
   UNION ALL SELECT CAST(floor(doc_id / 100) AS BIGINT), CAST(floor(doc_id / 20) AS BIGINT) % 5 + 1, 1, doc_id, text FROM {documents} WHERE CAST(floor(doc_id / 20) AS BIGINT) % 5 < 4
   UNION ALL SELECT CAST(floor(doc_id / 100) AS BIGINT), CAST(floor(doc_id / 20) AS BIGINT) % 5 + 1, 2, doc_id, text FROM {documents} WHERE CAST(floor(doc_id / 20) AS BIGINT) % 5 < 4 AND doc_id % 5 = 0) t

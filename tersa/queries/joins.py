@@ -114,7 +114,7 @@ def p30_bundle_assembly(spark, sf_dir):
     return short.groupBy("bundle_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(ordered("h"), ","), 256).alias("bundle_hash"), first.alias("preview"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS so_far FROM conversations")
 def w5_w8_turns(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     w = Window.partitionBy("conv_id").orderBy("turn")
