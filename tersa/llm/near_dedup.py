@@ -7,7 +7,8 @@ posterior probability of the wanted similarity falls below EPSILON; survivors ar
 A band's bucket never turns into all its pairs. In each of ROUNDS rounds every bucket that still spans several components
 compares one centre with its members of other components; centres that are done leave it. What is left after these rounds
 (members of the lesser components of a bucket against those of others) is compared exhaustively, so no candidate link
-between different components is lost. Links that cannot change a component are not looked for; ``links`` counts those verified.
+between different components is lost; the join's own condition compares parity maps of the sets, so that it makes no rows
+for pairs that cannot be alike enough. Links that cannot change a component are not looked for; ``links`` counts those verified.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tersa.llm.common import map_columns, materialize
 #: 30 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8^5)^30 < 1e-5.
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
-BATCH, EPSILON, ROUNDS = 30, 1e-6, 4
+BATCH, EPSILON, ROUNDS, MAP_BITS = 30, 1e-6, 2, 1024
 SHINGLE, PERCENT = 2, 80
 PRIME_SEED = 20_240_501
 
@@ -198,6 +199,28 @@ def components(links: DataFrame, label: str) -> DataFrame:
         edges = materialize(edges, f"{label}-edges")
 
 
+def parity_maps(texts: DataFrame, size: int) -> DataFrame:
+    """cid, n and m0, m1, ...: a class's shingles, and the parity of how many of them fall on each of MAP_BITS bits.
+
+    A shingle that only one of two sets has changes one bit, so maps differ in at most as many bits as the sets have
+    shingles not in common: a bound on the similarity that never rules out a pair which reaches it.
+    """
+    longs = MAP_BITS // 64
+
+    def make():
+        words = _Words()
+
+        def step(ids, found):
+            sets = [shingles(t, size, words) for t in found]
+            shift = np.uint64(64 - MAP_BITS.bit_length() + 1)
+            maps = [np.packbits((np.bincount((x >> shift).astype(np.int64), minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+            return [ids, [len(x) for x in sets], *np.array(maps).reshape(-1, longs).T]
+
+        return step
+
+    return map_columns(texts.select("cid", "text"), make, "cid long, n long, " + ", ".join(f"m{k} long" for k in range(longs)))
+
+
 def link_classes(docs: DataFrame, unique: DataFrame, size: int, percent: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(links a, b between classes; node, comp)."""
     spark = docs.sparkSession
@@ -212,34 +235,41 @@ def link_classes(docs: DataFrame, unique: DataFrame, size: int, percent: int, ro
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
 
-    def test(pairs: DataFrame, name: str) -> bool:
-        """Prune and verify pairs not tried before; whether there were links among them."""
+    def test(pairs: DataFrame, name: str) -> None:
+        """Prune and verify pairs not tried before; new links may join components."""
         nonlocal tried, links, comps
         fresh = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), f"dedup-pairs-{name}")
         found = materialize(verify(prune(fresh, signatures, percent), texts, size, percent), f"dedup-links-{name}")
         tried = tried.union(fresh)
-        if not found.head(1):
-            return False
-        links = links.union(found)
-        comps = components(links, "dedup")
-        return True
+        if found.head(1):
+            links = links.union(found)
+            comps = components(links, "dedup")
+
+    def with_components(left: DataFrame) -> DataFrame:
+        return left.join(comps, F.col("cid") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "cid"))
 
     test(members.select(F.col("centre").alias("a"), F.col("cid").alias("b")).filter("a <> b"), "0")
     left = members.filter("cid <> centre").select("bucket", "cid")
     for k in range(1, rounds):
-        with_comp = left.join(comps, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"))
-        centres = with_comp.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("cid", F.lit(k)), F.col("cid"), F.col("comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        open_ = materialize(with_comp.join(centres.select("bucket", F.col("c.cid").alias("centre"), F.col("c.comp").alias("centre_comp")), "bucket"), f"dedup-open-{k}")
+        now = with_components(left)
+        best = F.max(F.struct(F.xxhash64("cid", F.lit(k)), F.col("cid"), F.col("comp"))).alias("c")
+        spans = now.groupBy("bucket").agg(best, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        open_ = materialize(now.join(spans.select("bucket", F.col("c.cid").alias("centre"), F.col("c.comp").alias("centre_comp")), "bucket"), f"dedup-open-{k}")
         if not open_.head(1):
             return links, comps
         test(open_.filter("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("cid").alias("b")), str(k))
         left = open_.filter("cid <> centre").select("bucket", "cid")
-    with_comp = left.join(comps, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"))
-    most = with_comp.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("n")).filter("n > 1")
-    open_ = materialize(with_comp.join(most.select("bucket", "most"), "bucket"), "dedup-rest")
+    now = with_components(left)
+    most = now.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("spans")).filter("spans > 1")
+    open_ = materialize(now.join(most.select("bucket", "most"), "bucket"), "dedup-rest")
     if open_.head(1):
-        lesser = open_.filter("comp <> most").select("bucket", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-        test(lesser.join(open_.select("bucket", F.col("cid").alias("b"), "comp"), "bucket").filter("comp <> comp_a").select("a", "b"), "rest")
+        maps = materialize(parity_maps(texts.join(open_.select("cid").distinct(), "cid"), size), "dedup-maps")
+        every = open_.join(maps, "cid").drop("most").withColumnRenamed("cid", "b")
+        lesser = open_.filter("comp <> most").join(maps, "cid").drop("most").withColumnRenamed("cid", "a")
+        x, y = lesser.alias("x"), every.alias("y")
+        apart = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in maps.columns if m.startswith("m")), F.lit(0))
+        near_enough = apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+        test(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & near_enough).select("a", "b"), "rest")
     return links, comps
 
 
