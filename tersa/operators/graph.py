@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "
 DISTANCE_SCORES, FAR_SCORE, UNREACHED_SCORE = {0: 40.0, 1: 30.0, 2: 20.0}, 10.0, 5.0
 DIRTY_SCORE, RECENT_SCORE, CONSTRAINT_SCORE = 30.0, 15.0, 25.0
 KIND_SCORES, OTHER_SCORE = {"prompt": 30.0, "conversation": 20.0, "file": 15.0, "diff": 10.0}, 5.0
-MAX_HOPS = 64
+#: After so many hops what was reached is written as one table, so that plans stay short on long chains.
+UNION_HOPS = 32
 
 
 def import_paths(items: DataFrame) -> DataFrame:
@@ -38,22 +41,25 @@ def edges(items: DataFrame) -> DataFrame:
     return hit.filter("src <> dst").select("bundle_id", "src", "dst").distinct()
 
 
-def distances(edges_: DataFrame, sources: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """bundle_id, path, distance: hops to the nearest source (bundle_id, path), edges taken both ways.
+def distances(edges_: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """bundle_id, path, distance: hops to the nearest source (bundle_id, path), edges taken both ways, of all that is reachable.
 
-    A frontier is joined a hop a round, for all bundles at once; nodes reached once are left out, so rounds end at the longest distance.
+    A frontier is joined a hop a round, for all bundles at once; nodes reached once are left out, so rounds end at the longest distance,
+    or at max_hops if a caller wants near ones only.
     """
     both = edges_.select("bundle_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     both = materialize(both.unionByName(both.select("bundle_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
     frontier = materialize(sources.select("bundle_id", "path").distinct().withColumn("distance", F.lit(0)), "graph-frontier")
     reached = frontier
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         here = frontier.select("bundle_id", F.col("path").alias("a"))
         step = here.join(both, ["bundle_id", "a"]).select("bundle_id", F.col("b").alias("path")).distinct()
         frontier = materialize(step.join(reached, ["bundle_id", "path"], "left_anti").withColumn("distance", F.lit(hop)), "graph-frontier")
         if not frontier.head(1):
             break
         reached = reached.unionByName(frontier)
+        if hop % UNION_HOPS == 0:
+            reached = materialize(reached, "graph-reached")
     return reached
 
 

@@ -28,32 +28,63 @@ WALK = f""", {FILES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, s
  dist AS (SELECT path, min(d) AS distance FROM (SELECT * FROM w UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d5 UNION ALL SELECT * FROM d6) GROUP BY path)"""
 
 
-def walk(spark, sf_dir):
+#: The same without a bound on hops: a path stands once, at the first round that reaches it, and rounds end when none adds a path.
+WALK_ALL = f""", {FILES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+ dist(path, distance) USING KEY (path) AS (SELECT path, 0 FROM f WHERE ord % 97 = 0
+  UNION SELECT b, min(distance) + 1 FROM dist JOIN u ON a = path WHERE NOT EXISTS (FROM recurring.dist r WHERE r.path = b) GROUP BY b)"""
+
+
+def walk(spark, sf_dir, max_hops=None):
     f = files(spark, sf_dir)
-    return graph.distances(graph.edges(f), f.filter("ord % 97 = 0").select("bundle_id", "path"), 6)
+    return graph.distances(graph.edges(f), f.filter("ord % 97 = 0").select("bundle_id", "path"), max_hops)
+
+
+def over_all_hops(oracle: str) -> str:
+    """An oracle over WALK, over WALK_ALL instead."""
+    return oracle.replace(WALK, WALK_ALL).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query(with_items("SELECT 1").replace(" SELECT 1", WALK + " SELECT path, distance FROM dist"))
+DISTANCES = with_items("SELECT 1").replace(" SELECT 1", WALK + " SELECT path, distance FROM dist")
+
+
+@query(DISTANCES)
 def g8_j6_distances(spark, sf_dir):
+    """Up to six hops, as far as its SQL goes; g8_j6_all_distances has all."""
+    return walk(spark, sf_dir, 6).select("path", "distance")
+
+
+@query(over_all_hops(DISTANCES))
+def g8_j6_all_distances(spark, sf_dir):
     return walk(spark, sf_dir).select("path", "distance")
 
 
-@query(
-    with_items("SELECT 1").replace(
-        " SELECT 1",
-        WALK
-        + """ SELECT i.ord, least(100.0, greatest(1.0, CASE WHEN distance IS NULL THEN 5.0 WHEN distance = 0 THEN 40.0 WHEN distance = 1 THEN 30.0 WHEN distance = 2 THEN 20.0 ELSE 10.0 END + CASE WHEN i.ord % 97 = 0 THEN 30.0 WHEN i.ord % 13 = 0 THEN 15.0 ELSE 0.0 END
+SCORES = with_items("SELECT 1").replace(
+    " SELECT 1",
+    WALK
+    + """ SELECT i.ord, least(100.0, greatest(1.0, CASE WHEN distance IS NULL THEN 5.0 WHEN distance = 0 THEN 40.0 WHEN distance = 1 THEN 30.0 WHEN distance = 2 THEN 20.0 ELSE 10.0 END + CASE WHEN i.ord % 97 = 0 THEN 30.0 WHEN i.ord % 13 = 0 THEN 15.0 ELSE 0.0 END
  + CASE WHEN i.role = 'system' OR i.kind = 'prompt' THEN 30.0 WHEN i.kind = 'conversation' THEN 20.0 WHEN i.kind = 'file' THEN 15.0 WHEN i.kind = 'diff' THEN 10.0 ELSE 5.0 END + CASE WHEN i.ord % 5 = 0 THEN 25.0 ELSE 0.0 END))::DOUBLE AS score FROM items i LEFT JOIN dist USING (path)""",
-    )
 )
-def p24_j5_j7_scores(spark, sf_dir):
+
+
+def scored(spark, sf_dir, reached):
     i = items(spark, sf_dir).withColumn("bundle_id", F.lit(0).cast("long")).withColumn("has_constraint", F.expr("ord % 5 = 0"))
     state = F.when(F.expr("ord % 97 = 0"), "dirty").when(F.expr("ord % 13 = 0"), "recent")
     status = i.filter("path IS NOT NULL").select("path", state.alias("state")).filter("state IS NOT NULL")
-    scored = graph.scores(i, walk(spark, sf_dir), status)
+    found = graph.scores(i, reached, status)
     # items without a path have no status line; the recipe's state is theirs by id
     own = F.when(F.col("path").isNull(), state).otherwise(F.col("state"))
-    return scored.select("ord", graph.score(F.col("distance"), own, F.col("kind"), F.col("role"), F.col("has_constraint")).alias("score"))
+    return found.select("ord", graph.score(F.col("distance"), own, F.col("kind"), F.col("role"), F.col("has_constraint")).alias("score"))
+
+
+@query(SCORES)
+def p24_j5_j7_scores(spark, sf_dir):
+    """With distances of up to six hops, as far as its SQL goes; p24_j5_j7_all_scores has all."""
+    return scored(spark, sf_dir, walk(spark, sf_dir, 6))
+
+
+@query(over_all_hops(SCORES))
+def p24_j5_j7_all_scores(spark, sf_dir):
+    return scored(spark, sf_dir, walk(spark, sf_dir))
 
 
 @query(with_items("SELECT path, code, 'dirty' AS state FROM (SELECT path, CASE ord % 3 WHEN 0 THEN ' M' WHEN 1 THEN '??' ELSE 'R ' END AS code FROM items WHERE path IS NOT NULL)"))

@@ -263,3 +263,11 @@ def test_streaming_state(spark, tmp_path):
     q = seen_within_watermark(timed, "ts").writeStream.format("memory").queryName("first_turns").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("first_turns").count() == 4
+
+
+def test_distances_have_no_hop_limit(spark):
+    from tersa.operators import graph
+
+    chain = spark.createDataFrame([(0, f"p{k}", f"p{k + 1}") for k in range(70)], "bundle_id long, src string, dst string")
+    got = {r["path"]: r["distance"] for r in graph.distances(chain, spark.createDataFrame([(0, "p70")], "bundle_id long, path string")).collect()}
+    assert got == {f"p{k}": 70 - k for k in range(71)}
