@@ -2,8 +2,8 @@
 
 Base patterns find credentials that say what they are. Their values, from a bounded sample of documents, are the labelled
 credentials: for each kind a prefix tree of them is reduced by merging states whose continuations agree within Hoeffding
-bounds (ALERGIA), which leaves a probabilistic automaton of the kind's format. Ordinary long tokens of the sample give a
-background automaton. Every long token of every document is then scored by its log likelihood per character under the
+bounds (ALERGIA), which leaves a probabilistic automaton of the kind's format. Ordinary long tokens of the sample, without
+those that look like a format's own and unlike the others, as bare credentials do, give a background automaton. Every long token of every document is then scored by its log likelihood per character under the
 best format against the background; tokens that a format makes as likely as its own credentials, and more likely than the
 background does by a threshold, become spans of kind ``grammar``, unless a base span
 covers part of them. Characters are read as classes, but for the first four, which often are a fixed prefix.
@@ -171,17 +171,25 @@ class Grammars:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.formats = {k: Automaton(v) for k, v in sorted(labelled.items()) if len(v) >= 5}
         self.floors = {k: min(self.formats[k].score(symbols(t)) for t in labelled[k]) - SLACK for k in self.formats}
-        self.ordinary = Automaton(ordinary) if ordinary else None
-        scores = sorted(filter(math.isfinite, map(self.margin, ordinary)))
-        # no ordinary token of the sample passes
-        self.threshold = max(LEAST_MARGIN, (scores[-1] + 0.1) if scores else LEAST_MARGIN)
+        # bare credentials are among the ordinary tokens: what a format makes as likely as its own is left out of the
+        # background, but for what the others explain nearly as well
+        alike = {t for t in ordinary if math.isfinite(self.likely(symbols(t)))}
+        others = [t for t in ordinary if t not in alike]
+        self.ordinary = Automaton(others) if others else None
+        back = [t for t in sorted(alike) if self.margin(t) <= LEAST_MARGIN] if others else []
+        if back:
+            self.ordinary = Automaton(others + back)
+        # no token of the background passes
+        self.threshold = max([LEAST_MARGIN, *(self.margin(t) + 0.1 for t in back)])
+
+    def likely(self, word: list[str]) -> float:
+        """The best format's log likelihood; what no format makes likely is no credential, however odd it is among ordinary tokens."""
+        scores = {k: a.score(word) for k, a in self.formats.items()}
+        return max((x for k, x in scores.items() if x >= self.floors[k]), default=-math.inf)
 
     def margin(self, token: str) -> float:
         word = symbols(token)
-        scores = {k: a.score(word) for k, a in self.formats.items()}
-        # what no format makes likely is no credential, however odd it is among ordinary tokens
-        best = max((x for k, x in scores.items() if x >= self.floors[k]), default=-math.inf)
-        return best - (self.ordinary.score(word) if self.ordinary else math.log(1 / Automaton.WIDTH))
+        return self.likely(word) - (self.ordinary.score(word) if self.ordinary else math.log(1 / Automaton.WIDTH))
 
     def accepts(self, token: str) -> bool:
         return self.margin(token) > self.threshold

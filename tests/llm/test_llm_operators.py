@@ -290,6 +290,17 @@ def test_grammars_find_the_format():
     assert not any(map(g.accepts, fresh)) and not g.accepts("2024-01-01T00:00:00.000") and not g.accepts("www.example.com/some/path")
 
 
+def test_bare_credentials_in_the_sample(spark):
+    r = random.Random(8)
+    sess = lambda: "sk-" + "".join(r.choice("0123456789ghjkXYZ") for _ in range(40))
+    plain = lambda: "".join(r.choice(("ung", "heit", "lich", "ver", "sch", "be")) for _ in range(6))
+    bare = [sess() for _ in range(100)]
+    texts = [f"a {plain()} and token = {sess()} or so" for _ in range(100)] + [f"a {plain()} with {b} in it" for b in bare] + [f"only {plain()} {plain()}" for _ in range(200)]
+    out = secret_scan.scan(table(spark, texts)).collect()
+    found = {r["doc_id"] for r in out if "grammar" in r["spans"]}
+    assert len(found & set(range(100, 200))) > 95 and not found - set(range(100, 200))
+
+
 def test_redact(docs, rows):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
