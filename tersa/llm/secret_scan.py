@@ -1,17 +1,18 @@
 """Secret scans by patterns and by inferred grammars.
 
-Base patterns find credentials that say what they are. Their values, from a bounded sample of documents, are the labelled
-credentials: for each kind a prefix tree of them is reduced by merging states whose continuations agree within Hoeffding
+Base patterns find credentials that say what they are. Their values are the labelled credentials, of which a bounded
+sample is drawn by a hash of the value, from all documents: for each kind a prefix tree of them is reduced by merging states whose continuations agree within Hoeffding
 bounds (ALERGIA), which leaves a probabilistic automaton of the kind's format. Ordinary long tokens of the sample, without
 those that look like a format's own and unlike the others, as bare credentials do, give a background automaton. Every long token of every document is then scored by its log likelihood per character under the
 best format against the background; tokens that a format makes as likely as its own credentials, and more likely than the
-background does by a threshold, become spans of kind ``grammar``, unless a base span
+background does by a threshold, and such values after a ``=`` in them, become spans of kind ``grammar``, unless a base span
 covers part of them. Characters are read as classes, but for the first four, which often are a fixed prefix.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 
@@ -27,7 +28,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_CANDIDATE = 12, 18, 16, 16
 KINDS = ("assign", "access", "hex", "grammar")
 HINTS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
-TRAIN_DOCS, TRAIN_TOKENS, TRAIN_CHARS = 20_000, 400, 128
+TRAIN_TOKENS, TRAIN_CHARS = 400, 128
 ALPHA, LITERAL, LEAST_MARGIN, SLACK = 0.05, 4, 0.3, 0.15
 
 _assign, _access, _hex, _candidate = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(r"[0-9a-f]{16,}"), re.compile(CANDIDATE)
@@ -56,6 +57,12 @@ def long_tokens(text: str) -> set[str]:
     return {t for w in text.split() if len(w) >= MIN_CANDIDATE for t in _candidate.findall(w) if len(t) >= MIN_CANDIDATE}
 
 
+def candidates(token: str) -> list[str]:
+    """A long token and, as it may be a name with its value, what follows each '=' in it, the longest first."""
+    ends = [m.end() for m in re.finditer("=", token)] if "=" in token else []
+    return [token, *(token[k:] for k in ends if len(token) - k >= MIN_CANDIDATE)]
+
+
 def symbols(token: str) -> list[str]:
     """The first characters themselves, then classes: digit, a-f, g-z, A-F, G-Z, other."""
     return [*token[:LITERAL], *token[LITERAL:].translate(_CLASSES)]
@@ -170,10 +177,10 @@ class Grammars:
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.formats = {k: Automaton(v) for k, v in sorted(labelled.items()) if len(v) >= 5}
-        self.floors = {k: min(self.formats[k].score(symbols(t)) for t in labelled[k]) - SLACK for k in self.formats}
+        self.floors = {k: min(self.formats[k].score(symbols(t[:TRAIN_CHARS])) for t in labelled[k]) - SLACK for k in self.formats}
         # bare credentials are among the ordinary tokens: what a format makes as likely as its own is left out of the
         # background, but for what the others explain nearly as well
-        alike = {t for t in ordinary if math.isfinite(self.likely(symbols(t)))}
+        alike = {t for t in ordinary if math.isfinite(self.likely(symbols(t[:TRAIN_CHARS])))}
         others = [t for t in ordinary if t not in alike]
         self.ordinary = Automaton(others) if others else None
         back = [t for t in sorted(alike) if self.margin(t) <= LEAST_MARGIN] if others else []
@@ -188,35 +195,64 @@ class Grammars:
         return max((x for k, x in scores.items() if x >= self.floors[k]), default=-math.inf)
 
     def margin(self, token: str) -> float:
-        word = symbols(token)
+        word = symbols(token[:TRAIN_CHARS])
         return self.likely(word) - (self.ordinary.score(word) if self.ordinary else math.log(1 / Automaton.WIDTH))
 
     def accepts(self, token: str) -> bool:
         return self.margin(token) > self.threshold
 
 
-def infer_grammars(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> Grammars:
-    """Fit on about train_docs documents, chosen by a hash of their ids, and at most train_tokens values of each kind."""
-    n = docs.count()
-    if n > train_docs:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
+def rank(value: str) -> int:
+    """A hash by which values are drawn, whatever their document."""
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=7).digest())
+
+
+class Least:
+    """Of each kind the distinct values of least rank, in order of first sight; what is offered and is among them is new."""
+
+    def __init__(self, most: int):
+        self.most, self.heaps, self.held = most, {}, {}
+
+    def add(self, kind: str, value: str) -> int | None:
+        """The value's rank if it is new and among the least so far, else None."""
+        heap, held = self.heaps.setdefault(kind, []), self.held.setdefault(kind, set())
+        if value in held:
+            return None
+        n = rank(value)
+        if len(heap) < self.most:
+            heapq.heappush(heap, (-n, value))
+        elif n < -heap[0][0]:
+            held.discard(heapq.heappushpop(heap, (-n, value))[1])
+        else:
+            return None
+        held.add(value)
+        return n
+
+
+def infer_grammars(docs: DataFrame, train_tokens: int = TRAIN_TOKENS) -> Grammars:
+    """Fit on at most train_tokens distinct values of each kind, of all documents, those of least rank. Values are read up to TRAIN_CHARS."""
 
     def make():
+        least = Least(train_tokens)
+
         def step(texts):
             out = []
             for text in texts:
                 text = text or ""
-                spans = base_spans(text)
-                values = {(KINDS[s[1]], credential(text, s)) for s in spans}
+                values = {(KINDS[s[1]], credential(text, s)) for s in base_spans(text)}
                 taken = {v for _, v in values}
-                out += [v for v in values if len(v[1]) <= TRAIN_CHARS]
-                out += [("ordinary", t) for t in long_tokens(text) if len(t) <= TRAIN_CHARS and t not in taken and not any(v in t for v in taken)]
-            return [[k for k, _ in out], [v for _, v in out]]
+                values |= {("ordinary", t) for t in long_tokens(text) if t not in taken and not any(v in t for v in taken)}
+                for kind, value in values:
+                    value = value[:TRAIN_CHARS]
+                    if (n := least.add(kind, value)) is not None:
+                        out.append((kind, value, n))
+            return [list(c) for c in zip(*out)] or [[], [], []]
 
         return step
 
-    found = map_columns(docs.select("text"), make, "kind string, value string").distinct()
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    # a task gives train_tokens values of a kind and, by the logarithm of its rows, some that later ones displace
+    found = map_columns(docs.select("text"), make, "kind string, value string, rank long").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("rank", "value"))
     values: dict[str, list[str]] = {}
     # at most 4 kinds x train_tokens values of TRAIN_CHARS characters
     for kind, value in found.withColumn("nth", nth).filter(F.col("nth") <= train_tokens).select("kind", "value").collect():
@@ -233,28 +269,30 @@ class Scanner:
     def __init__(self, grammars: Grammars):
         self.grammars, self.known = grammars, {}
 
-    def suspicious(self, token: str) -> bool:
+    def suspicious(self, token: str) -> int:
+        """The length of the longest candidate in the token that looks like a credential, 0 if none does."""
         if token not in self.known:
             if len(self.known) >= self.CACHE:
                 self.known.clear()
-            self.known[token] = self.grammars.accepts(token)
+            self.known[token] = next((len(c) for c in candidates(token) if self.grammars.accepts(c)), 0)
         return self.known[token]
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and all spans, as (start, kind number, end)."""
         base = base_spans(text)
-        hot = {t for t in long_tokens(text) if self.suspicious(t)}
+        hot = {t: n for t in long_tokens(text) if (n := self.suspicious(t))}
         if not hot:
             return base, base
         more, k = [], 0
         ends = sorted((s, e) for s, _, e in base)
         for m in _candidate.finditer(text):
             if m[0] in hot:
-                while k < len(ends) and ends[k][1] <= m.start():
+                start = m.end() - hot[m[0]]
+                while k < len(ends) and ends[k][1] <= start:
                     k += 1
                 # an assignment may hold a run of hex digits, so look a little further than the next span
-                if not any(s < m.end() and m.start() < e for s, e in ends[k : k + 4]):
-                    more.append((m.start(), 3, m.end()))
+                if not any(s < m.end() and start < e for s, e in ends[k : k + 4]):
+                    more.append((start, 3, m.end()))
         return base, sorted(base + more)
 
 

@@ -301,6 +301,22 @@ def test_bare_credentials_in_the_sample(spark):
     assert len(found & set(range(100, 200))) > 95 and not found - set(range(100, 200))
 
 
+def test_grammars_learn_from_all_documents(spark):
+    r = random.Random(9)
+    made = lambda n: "sk-" + "".join(r.choice("0123456789ghjkXYZ") for _ in range(n))
+    plain = lambda: "".join(r.choice(("ung", "heit", "lich", "ver", "sch", "be")) for _ in range(6))
+    # 24 of 24,000 documents have a labelled credential
+    rare = spark.createDataFrame([(k, f"token = {made(40)}" if k % 1000 == 0 else f"{plain()} of {k}") for k in range(24_000)], "doc_id long, text string")
+    g = secret_scan.infer_grammars(rare)
+    assert sum(g.formats["assign"].ends) == 24 and sum(g.accepts(made(40)) for _ in range(50)) > 40
+    long = spark.createDataFrame([(k, f"token = {made(200)} {plain()}") for k in range(30)], "doc_id long, text string")
+    g = secret_scan.infer_grammars(long)
+    assert g.accepts(made(200)) and not g.accepts(plain())
+    value = made(200)
+    base, every = secret_scan.Scanner(g).spans(f"see name={value} there")
+    assert not base and every == [(9, 3, 9 + len(value))]
+
+
 def test_redact(docs, rows):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
