@@ -3,7 +3,8 @@
 A text is read as units, runs of at most UNIT characters without white space, and as k-mers of K units, of which the n-th
 occurrence of each is told apart by its number. One hash of (k-mer, number) deals them into BINS bins and ranks them there;
 of each bin the PICK least k-mers stay, in the order of the text, and the hash of this tuple is the bin's part of the
-fingerprint. Two fingerprints are as like as the share of their bins with equal parts, so order counts as content does.
+fingerprint. In short texts many bins have one k-mer, whose tuple knows no order; with ``borrow``, as the query has it, such
+a bin takes its other k-mers from the bins after it. Two fingerprints are as like as the share of their bins with equal parts, so order counts as content does.
 
 Occurrence numbers need no shuffle: a text's k-mers are sorted within its row, and lengths of runs of equal ones are found
 by doubling steps, as many as the logarithm of the longest run. The next document by id is found within buckets of ids,
@@ -89,13 +90,26 @@ def parts(units: Column, order: Column) -> Column:
     return let(placed, part)
 
 
-def fingerprint(text: Column) -> Column:
-    """At most 2^BINS_LOG longs of BINS_LOG + PART bits, one per bin that has k-mers; none for a text without units."""
+def borrowing_parts(units: Column, order: Column) -> Column:
+    """As parts, but a bin with fewer than PICK k-mers takes the least of the bins after it, the last ones of the first, if the text has as many."""
+    n = F.size(order)
+
+    def one(x: Column, j: Column) -> Column:
+        places = F.sort_array(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(PICK)) - 1), lambda k: _place(F.get(order, ((j + k) % n).cast("int"))).cast("int")))
+        hashes = let(places, lambda at: F.xxhash64(*(F.when(F.get(at, F.lit(k)).isNotNull(), kmer(units, F.get(at, F.lit(k)))) for k in range(PICK))))
+        return F.when((j == 0) | (_bin(F.get(order, j - 1)) != _bin(x)), F.shiftleft(_bin(x), PART).bitwiseOR(hashes.bitwiseAND(F.lit((1 << PART) - 1).cast("long"))))
+
+    return F.sort_array(F.filter(F.transform(order, one), lambda x: x.isNotNull()))
+
+
+def fingerprint(text: Column, borrow: bool = False) -> Column:
+    """At most 2^BINS_LOG longs of BINS_LOG + PART bits, one per bin that has k-mers; none for a text without units. borrow: see borrowing_parts."""
+    take = borrowing_parts if borrow else parts
 
     def of(units: Column) -> Column:
         last = F.greatest(F.size(units) - K, F.lit(0))
         kmers = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: _pack(kmer(units, i), i)))
-        return let(let(kmers, ranked), lambda order: parts(units, order))
+        return let(let(kmers, ranked), lambda order: take(units, order))
 
     cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\x20\x09-\x0D]{1,%d})" % UNIT), F.lit(1))
     return let(cut, lambda units: F.when(F.size(units) > 0, of(units)).otherwise(F.array().cast("array<bigint>")))
@@ -134,14 +148,15 @@ def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = BUCKET_ROW
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter("NOT to.ghost").drop("to", "bucket")
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, borrow: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per row of docs.
 
     Null texts count as empty. Empty fingerprints are like each other and unlike any other. Rows of one id follow each
-    other by text; rows alike are each other's next. A single row is its own next. Other columns are ignored.
+    other by text; rows alike are each other's next. A single row is its own next. Other columns are ignored. With borrow,
+    the order of short texts counts too.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    own = with_next(base.withColumn("parts", fingerprint(F.col("text"))), ["text", "parts"])
+    own = with_next(base.withColumn("parts", fingerprint(F.col("text"), borrow)), ["text", "parts"])
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = own.select(
         "doc_id",
@@ -149,7 +164,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         "parts",
         F.col("next.parts").alias("next_parts"),
         F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"),
-    ).withColumn("edited_parts", fingerprint(F.col("edited")))
+    ).withColumn("edited_parts", fingerprint(F.col("edited"), borrow))
     return edited.select(
         "doc_id",
         "n_chars",

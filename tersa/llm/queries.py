@@ -25,7 +25,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tersa.llm.fingerprints import fingerprint_documents
 
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprint_documents(table(spark, sf_dir, "documents"), borrow=True)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

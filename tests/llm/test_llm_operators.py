@@ -382,6 +382,20 @@ def test_order_counts(spark):
     assert 0.2 < same(p[0], p[1]) < 0.9 and same(p[0], p[2]) < 0.1
 
 
+def test_order_counts_in_short_texts(spark):
+    texts, sizes = [], (20, 50, 80, 100)
+    for n in sizes:
+        for seed in range(30):
+            w = words(n, 1000 * n + seed).split()
+            texts += [(n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2]))]
+    df = spark.createDataFrame([*texts, (1, "one", "one"), (3, "one two three", "one two three")], "n int, a string, b string")
+    like = F.avg(fingerprints.likeness(fingerprints.fingerprint(F.col("a"), True), fingerprints.fingerprint(F.col("b"), True)))
+    got = {r[0]: r[1] for r in df.groupBy("n").agg(like).collect()}
+    assert got[1] == got[3] == 1.0 and all(0.2 < got[n] < 0.6 for n in sizes), got
+    doc = table(spark, [" ".join(words(20, 7).split()), " ".join(words(20, 7).split()[10:] + words(20, 7).split()[:10])])
+    assert next(iter(fingerprints.fingerprint_documents(doc, True).collect()))["near_next"] < 0.7
+
+
 def test_lexicon_matches_one_error():
     entries = [("idiot", True, 3.0), ("lowei", False, 2.0), ("scum", True, 4.0)]
     lex = toxicity.Lexicon(entries)
