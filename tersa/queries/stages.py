@@ -42,6 +42,18 @@ def v1_v2_v4_balance(spark, sf_dir):
     return i.select("ord", "validator", (F.size(scanners.balance_issues("content", "validator")) == 0).alias("valid"))
 
 
+#: Closing quotes of both languages left out, or closing brackets.
+DAMAGED = "CASE WHEN ord % 5 = 0 THEN replace(replace(content, '\"' || chr(10), chr(10)), '\";' || chr(10), ';' || chr(10)) WHEN ord % 7 = 0 THEN replace(content, ')', '') ELSE content END"
+
+
+@query(with_items("SELECT ord, CASE WHEN language = 'python' THEN 'python' ELSE 'script' END AS validator, NOT (ord % 5 = 0 OR ord % 7 = 0) AS valid FROM items WHERE content_type = 'code'"))
+def v1_v2_v4_all_balance(spark, sf_dir):
+    """All code items, with unterminated strings too, which v1_v2_v4_balance and its SQL leave out."""
+    i = items(spark, sf_dir).filter("content_type = 'code'").withColumn("content", F.expr(DAMAGED))
+    i = i.withColumn("validator", scanners.validator(F.col("language"), F.col("path"), F.col("content_type")))
+    return i.select("ord", "validator", (F.size(scanners.balance_issues("content", "validator")) == 0).alias("valid"))
+
+
 @query("SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN left(props, length(props) - 1) ELSE props END) AS valid FROM events")
 def v3_p8_json(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -81,6 +93,16 @@ def v6_directive_retention(spark, sf_dir):
     return i.select("ord", F.explode(keywords(lost)).alias("lost")).filter("lost = 'must'")
 
 
+@query(with_items("SELECT ord, unnest(['must', 'Do not']) AS lost FROM items WHERE ord % 6 = 0 AND ord % 4 = 0"))
+def v6_all_directive_retention(spark, sf_dir):
+    """All items and all keywords lost, of which v6_directive_retention and its SQL keep only some."""
+    from tersa.functions.directives import directives, keywords
+
+    i = items(spark, sf_dir).withColumn("after", F.expr("CASE WHEN ord % 4 = 0 THEN regexp_replace(content, ' You must keep row.*$', '') ELSE content END"))
+    lost = F.filter(directives(F.col("content")), lambda d: ~F.contains(F.col("after"), d))
+    return i.select("ord", F.explode(keywords(lost)).alias("lost"))
+
+
 @query(with_items("SELECT bundle_id, bad = 0 AS passed, CASE WHEN bad = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CASE WHEN bad = 0 THEN '' WHEN warn = 0 THEN 'E1' ELSE 'E1; E2' END AS reason FROM (SELECT bundle_id, count(*) FILTER (ord % 150 = 0) AS bad, count(*) FILTER (ord % 300 = 0) AS warn FROM items GROUP BY bundle_id)"))
 def u5_v10_verdicts(spark, sf_dir):
     i = items(spark, sf_dir)

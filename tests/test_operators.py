@@ -271,3 +271,13 @@ def test_distances_have_no_hop_limit(spark):
     chain = spark.createDataFrame([(0, f"p{k}", f"p{k + 1}") for k in range(70)], "bundle_id long, src string, dst string")
     got = {r["path"]: r["distance"] for r in graph.distances(chain, spark.createDataFrame([(0, "p70")], "bundle_id long, path string")).collect()}
     assert got == {f"p{k}": 70 - k for k in range(71)}
+
+
+def test_queries_of_damage_keep_all_code(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    code = {r["ord"] for r in items(spark, sf_dir).filter("content_type = 'code'").collect()}
+    got = {r["ord"]: r["valid"] for r in entry.queries()["v1_v2_v4_all_balance"](spark, sf_dir).collect()}
+    assert got.keys() == code and not any(v for k, v in got.items() if k % 5 == 0) and any(got.values())
+    lost = entry.queries()["v6_all_directive_retention"](spark, sf_dir).collect()
+    assert {r["lost"] for r in lost} == {"must", "Do not"}
