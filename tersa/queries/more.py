@@ -9,7 +9,7 @@ from tersa.functions.tokens import token_estimate
 from tersa.operators import metrics, scanners
 from tersa.plans.recipes import items, with_items
 from tersa.queries import query
-from tersa.queries.scalars import ESTIMATE, RESERVED_SQL, classes
+from tersa.queries.scalars import ESTIMATE, MARK, RESERVED_SQL, classes
 
 
 @query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'system', turn) - 1 AS slot, role, CASE WHEN role = 'system' THEN 'prompt' ELSE 'conversation' END AS kind, text AS content FROM conversations")
@@ -90,6 +90,17 @@ def a17_skip_reasons(spark, sf_dir):
     return skip_reasons(items(spark, sf_dir).filter("length(content) > 90")).drop("tokens_at_stake")
 
 
+SYMBOLS_SQL = "content_type = 'code' OR regexp_matches(content, 'def\\s+[A-Za-z_]|(class|interface|type|enum|struct)\\s+[A-Za-z_$]|function\\s+[A-Za-z_$]|(public|private|protected|async|static|get|set)\\s+[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(')"
+
+
+@query(with_items(f"SELECT bundle_id, count(*) FILTER (NOT saves) AS no_savings, count(*) FILTER (structured) AS structured_content, count(*) FILTER (saves AND NOT structured AND ({SYMBOLS_SQL})) AS has_symbols FROM (SELECT *, length({MARK}) < length(content) AS saves, regexp_matches(content, '^\\s*\\[\\s*\\{{') AS structured FROM items) GROUP BY bundle_id"))
+def a17_all_skip_reasons(spark, sf_dir):
+    """All items, with the short ones that a17_skip_reasons and its SQL leave out, so that markers may save nothing."""
+    from tersa.plans.stages import skip_reasons
+
+    return skip_reasons(items(spark, sf_dir)).drop("tokens_at_stake")
+
+
 @query()
 def k4_a18_t2_prune(spark, sf_dir):
     """Bundles pruned to 60 % of their tokens by graph, state, kind and constraints; what stays and how near it is."""
@@ -111,3 +122,15 @@ def t4_delta(spark, sf_dir):
     # the context of a one-line log is the log itself, so a delta saves nothing and the item is left as it is
     d = delta(now, i).join(now.select("item_id", "content_type"), "item_id")
     return d.select("item_id", ((F.col("content_type") != "logs") & F.col("delta").isNull()).alias("same"))
+
+
+@query(with_items("SELECT item_id, content_type = 'markdown' OR content_type = 'text' AS same FROM items WHERE content_type IN ('markdown', 'text', 'logs')"))
+def t4_all_delta(spark, sf_dir):
+    """As t4_delta, with items of all lengths: the operator decides whether a delta saves."""
+    from tersa.plans.stages import delta
+
+    i = items(spark, sf_dir).filter("content_type IN ('markdown', 'text', 'logs')").withColumn("origin", F.lit(None).cast("string"))
+    now = i.withColumn("content", F.when(F.col("content_type") == "logs", F.concat("content", F.lit("\n12:00:00 INFO end"))).otherwise(F.col("content")))
+    # the context of a one-line log is the log itself, so a delta saves nothing and the item is left as it is
+    d = delta(now, i).join(now.select("item_id", "content_type"), "item_id")
+    return d.select("item_id", ((F.col("content_type") != "logs") & F.col("delta").isNull()).alias("same"))

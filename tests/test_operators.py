@@ -281,3 +281,12 @@ def test_queries_of_damage_keep_all_code(spark, sf_dir):
     assert got.keys() == code and not any(v for k, v in got.items() if k % 5 == 0) and any(got.values())
     lost = entry.queries()["v6_all_directive_retention"](spark, sf_dir).collect()
     assert {r["lost"] for r in lost} == {"must", "Do not"}
+
+
+def test_skip_reasons_and_deltas_keep_short_items(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    assert any(r["no_savings"] for r in entry.queries()["a17_all_skip_reasons"](spark, sf).collect())
+    prose = items(spark, sf).filter("content_type IN ('markdown', 'text', 'logs')")
+    assert entry.queries()["t4_all_delta"](spark, sf).count() == prose.count() > prose.filter("length(content) > 400").count()
