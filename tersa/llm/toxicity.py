@@ -28,18 +28,23 @@ WORD = re.compile(r"[^\W_]+")
 BEFORE = 60
 REPORTS = re.compile(r"\b(said|says|quote|quoted|wrote|called|citation|cited|reported|sagte|schrieb|zitat|dit|écrit|dijo|escribió|cita)\b")
 QUOTES = re.compile("[\"“”„«»]")
+#: With wide matches: words with symbols inside; least letters for an error. Short entries that are misspelt weigh less.
+MASKED = re.compile(r"[^\W_]+(?:[*@$!#+_.-]{1,3}[^\W_]+)+")
+WIDE_LEAST, SHORT_WEIGHT = 4, 0.5
 KINDS = ("used", "used misspelt", "quoted", "quoted misspelt")
 
 
 class Lexicon:
     """Entries (text, whole word or stem, weight) in a trie, and its intersection with Levenshtein automata of words."""
 
-    def __init__(self, entries: list[tuple[str, bool, float]]):
-        self.entries = entries
+    def __init__(self, entries: list[tuple[str, bool, float]], wide: bool = False):
+        """wide: errors at the first character too, swapped neighbours as one error, and errors in entries of WIDE_LEAST letters."""
+        self.entries, self.wide = entries, wide
+        least = WIDE_LEAST if wide else FUZZY_LEAST
         self.edges: list[dict[str, int]] = [{}]
         self.whole: list[float] = [0.0]
         self.stem: list[float] = [0.0]
-        self.fuzzy: list[bool] = [False]  # a node at or above which an entry long enough for one error stands
+        self.fuzzy: list[bool] = [wide and any(len(text) >= least for text, _, _ in entries)]  # a node at or above which an entry long enough for one error stands
         for text, whole, weight in entries:
             at = 0
             for c in text:
@@ -50,10 +55,10 @@ class Lexicon:
                     self.stem.append(0.0)
                     self.fuzzy.append(False)
                 at = self.edges[at][c]
-                self.fuzzy[at] |= len(text) >= FUZZY_LEAST
+                self.fuzzy[at] |= len(text) >= least
             kind = self.whole if whole else self.stem
             kind[at] = max(kind[at], weight)
-        self.long = {text for text, _, _ in entries if len(text) >= FUZZY_LEAST}
+        self.long = {text for text, _, _ in entries if len(text) >= least}
         self.names = {0: ""}
         for n, edges in enumerate(self.edges):
             for c, to in edges.items():
@@ -68,29 +73,38 @@ class Lexicon:
     def _state(self, pairs: frozenset) -> int:
         """The number of a state, closed under characters that the word leaves out."""
         closed = set(pairs)
-        for node, errors in pairs:
-            if errors == 0:
-                closed |= {(to, 1) for to in self.edges[node].values() if self.fuzzy[to] and (node or False)}
-        key = frozenset(p for p in closed if not (p[1] and (p[0], 0) in closed))
+        for node, errors, *swapped in pairs:
+            if errors == 0 and (node or self.wide):
+                closed |= {(to, 1) for to in self.edges[node].values() if self.fuzzy[to]}
+        key = frozenset(p for p in closed if not (len(p) == 2 and p[1] and (p[0], 0) in closed))
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            best = [0.0] * 4
-            for node, errors in key:
+            best = [0.0] * 4  # a misspelt entry of fewer than FUZZY_LEAST letters weighs SHORT_WEIGHT of its own
+            for node, errors, *swapped in key:
+                if swapped:
+                    continue
                 if not errors or self.names[node] in self.long:
-                    best[errors] = max(best[errors], self.whole[node])
-                    best[2 + errors] = max(best[2 + errors], self.stem[node])
+                    w = SHORT_WEIGHT if errors and len(self.names[node]) < FUZZY_LEAST else 1.0
+                    best[errors] = max(best[errors], w * self.whole[node])
+                    best[2 + errors] = max(best[2 + errors], w * self.stem[node])
             self.found.append(tuple(best))
         return self.number[key]
 
     def _step(self, state: int, c: str) -> int:
-        """From a state by a character; errors need the first character of an entry right. -1: no entry is near any more."""
+        """From a state by a character; unless wide, errors need the first character of an entry right. -1: no entry is near any more."""
         out = set()
-        for node, errors in self.states[state]:
+        for node, errors, *swapped in self.states[state]:
+            if swapped:
+                if c == swapped[0]:
+                    out.add((node, 1))
+                continue
             if (to := self.edges[node].get(c)) is not None:
                 out.add((to, errors))
-            if errors == 0 and node:
+            if errors == 0 and self.wide:  # c stands before its neighbour, which is to follow
+                out |= {(at, 1, d) for d, to in self.edges[node].items() if (at := self.edges[to].get(c)) is not None and self.fuzzy[at]}
+            if errors == 0 and (node or self.wide):
                 if self.fuzzy[node]:
                     out.add((node, 1))  # c is one too many
                 out |= {(to, 1) for to in self.edges[node].values() if self.fuzzy[to]}  # c stands for another
@@ -135,12 +149,15 @@ def features(text: str | None, weights: _Weights) -> list[float]:
     low = (text or "").lower()
     words = WORD.findall(low)
     hits = {w for w in set(words) if weights[w]}
+    masked = [m for m in MASKED.finditer(low) if weights[m[0]]] if weights.lexicon.wide else []
+    hits |= {m[0] for m in masked}
     sums = [0.0] * len(KINDS)
     if not hits:
         return [*sums, 0.0]
     kinds: dict[str, int] = {}
     n, quotes, at = 0, 0, 0
-    for m in WORD.finditer(low):
+    every = WORD.finditer(low)
+    for m in sorted([*every, *masked], key=lambda m: m.start()) if masked else every:
         if m[0] in hits:
             n += 1
             quotes += len(QUOTES.findall(low, at, m.start()))
@@ -248,7 +265,7 @@ class Model:
         self.entries, self.coefficients = entries, coefficients
 
     def scorer(self):
-        weights = _Weights(Lexicon(self.entries))
+        weights = _Weights(Lexicon(self.entries, True))
         w = self.coefficients
 
         def score(texts: list[str | None]) -> list[float]:
@@ -266,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     shared = docs.sparkSession.sparkContext.broadcast(entries)
 
     def make():
-        weights = _Weights(Lexicon(shared.value))
+        weights = _Weights(Lexicon(shared.value, True))
 
         def step(texts, ys):
             return [[features(t, weights) for t in texts], ys]

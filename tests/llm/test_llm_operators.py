@@ -423,6 +423,16 @@ def test_lexicon_matches_one_error():
             assert near(w, "idiot") > 1, w
 
 
+def test_wide_lexicon():
+    lex = toxicity.Lexicon([("idiot", True, 3.0), ("scum", True, 4.0)], True)
+    for w in ("1diot", "diot", "idoit", "diiot", "id*ot", "idio", "xidiot", "scvm", "scmu", "cum", "idiott"):
+        assert lex.match(w)[0] > 0 and lex.match(w)[1], w
+    assert lex.match("idiot") == (3.0, False) and lex.match("scum") == (4.0, False) and lex.match("scvm") == (2.0, True)
+    assert not any(lex.match(w)[0] for w in ("", "i", "scv", "toidi", "idxxt", "doiit", "svcn"))
+    weights = toxicity._Weights(lex)
+    assert toxicity.features("an id*ot here", weights)[1] > 0 and not any(toxicity.features("an id here", weights))
+
+
 def test_toxicity(spark):
     bad, r = ["zorbag", "fleeble", "quinxer"], random.Random(6)
     rows = []
