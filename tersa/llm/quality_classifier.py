@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tersa.llm.common import crc_fold, map_columns, materialize
-from tersa.llm.quality_rules import SPACES, SYMBOLS, _Hashes, count_text
+from tersa.llm.quality_rules import SPACES, _Hashes, count_text
 from tersa.llm.toxicity import fit_logistic, labelled_sample
 
 TRAIN_EACH, THRESHOLD, MOST_WEIGHT = 3000, 0.5, 1e4
@@ -33,7 +33,7 @@ def text_figures(text: str | None, hashes: dict) -> list[float]:
     words = text.split()
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     counts = Counter(words)
-    letters = sum(map(str.isalpha, text)) if len(text) < 2000 else chars - sum(map(text.count, "0123456789.,;:!?|-+@/" + SYMBOLS.replace("|", "")))
+    letters = sum(map(text.count, filter(str.isalpha, set(text))))
     upper = sum(w.isupper() and len(w) > 1 for w in counts) / len(counts)
     return [
         min(10.0, math.log1p(n)),

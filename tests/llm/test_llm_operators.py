@@ -479,6 +479,12 @@ def test_quality_classifier(spark):
     assert rate["spam"] < 0.3 < rate["h1"]
 
 
+def test_letters_count_alike_at_every_length():
+    line = 'x["a_b"] = (f{c}) «é» 12\n'
+    share = [quality_classifier.text_figures(line * n, quality_classifier._Hashes())[10] for n in (50, 500)]
+    assert len(line) * 50 < 2000 < len(line) * 500 and abs(share[0] - share[1]) < 1e-9
+
+
 def test_sites_shrink(spark):
     scored = [("big", "a", 0.9)] * 500 + [("small", "a", 0.0)] + [("bad", "a", 0.1)] * 300
     out = {r["host"]: r for r in quality_classifier.site_posteriors(spark.createDataFrame(scored, "host string, path string, doc_score double")).collect()}
