@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import map_columns, materialize
+from tersa.llm.common import discard, map_columns, materialize, salted_join
 
 #: 30 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8^5)^30 < 1e-5.
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
-BATCH, EPSILON, ROUNDS, MAP_BITS = 30, 1e-6, 2, 1024
+BATCH, EPSILON, ROUNDS, MAP_BITS, BLOCK = 30, 1e-6, 2, 1024, 512
 SHINGLE, PERCENT = 2, 80
 PRIME_SEED = 20_240_501
 
@@ -69,8 +69,11 @@ def signature(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n_shingles, digest per row; classes: cid, sig, bands per distinct non-empty set)."""
+def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n_shingles, digest; classes: node, digest, cid, n, sig, bands per distinct non-empty set; repeated: ids of several rows).
+
+    node is a number of the class's own, cid its least document.
+    """
 
     def make():
         words, (a, b) = _Words(), _multipliers()
@@ -80,7 +83,7 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]
             for text in texts:
                 items = shingles(text, size, words)
                 counts.append(len(items))
-                digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                digests.append(digest_of(items))
                 if len(items):
                     s = signature(items, a, b)
                     sigs.append((s & np.uint32(0xFF)).astype(np.uint8).tobytes())
@@ -96,12 +99,43 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]
     # one pass over the texts; what it found is read again several times
     found = materialize(map_columns(docs.select(F.col("doc_id").cast("long"), "text"), make, schema), "dedup-signatures")
     named = found.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("cid"))
-    keyed = found.join(first, "digest", "left")
-    members = keyed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid"))
-    # a row of the class's own document; rows that repeat it are alike
-    unique = keyed.filter("doc_id = cid").select("cid", "sig", "bands")
-    return members, unique
+    # aggregated before the shuffle, so that a set of many rows is no heavy group; rows of a set have equal signatures
+    per = named.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    per = materialize(per.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
+    repeated = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "dedup-repeated")
+    return found.select("doc_id", "n_shingles", "digest"), per, repeated
+
+
+def digest_of(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
+def same_document(rows: DataFrame, per: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links a, b between the classes of each id that has several texts: of the least of them to the others."""
+    sets = salted_join(rows.filter("digest IS NOT NULL"), repeated, "doc_id", F.col("digest")).select("doc_id", "digest").distinct()
+    nodes = sets.join(per.select("digest", "node"), "digest").select("doc_id", "node")
+    nodes = materialize(nodes, "dedup-same")
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return salted_join(nodes, least, "doc_id", F.col("node")).select("a", F.col("node").alias("b")).filter("a < b")
+
+
+def class_texts(docs: DataFrame, near: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """node, text: a text of each class of near (node, cid, digest), from the rows of its least document."""
+    found = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").filter("cid IS NOT NULL")
+    if not repeated.head(1):
+        # texts are moved by id at every size of the corpus
+        return found.join(near.select("cid", "node").hint("shuffle_merge"), "cid").select("node", "text")
+    again = repeated.withColumnRenamed("doc_id", "cid").withColumn("again", F.lit(True))
+    once = found.join(near.select("cid", "node").hint("shuffle_merge"), "cid").join(again, "cid", "left_anti").select("node", "text")
+
+    def make():
+        words = _Words()
+        return lambda ids, texts: [ids, [digest_of(shingles(t, size, words)) for t in texts], texts]
+
+    # an id with several texts may be the least document of several classes, so its texts are told apart by their sets
+    told = map_columns(salted_join(found, again, "cid", F.col("text")).select("cid", "text"), make, "cid long, digest binary, text string")
+    several = told.groupBy("cid", "digest").agg(F.min("text").alias("text")).join(near, ["cid", "digest"]).select("node", "text")
+    return once.unionByName(several)
 
 
 def least_matches(percent: int = PERCENT, epsilon: float = EPSILON) -> list[int]:
@@ -123,9 +157,9 @@ def least_matches(percent: int = PERCENT, epsilon: float = EPSILON) -> list[int]
 
 
 def prune(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose signatures leave the wanted similarity possible; batches are compared until one rules a pair out."""
+    """Pairs a, b (a written table) whose signatures leave the wanted similarity possible; batches are compared until one rules a pair out."""
     least = least_matches(percent)
-    both = pairs.join(signatures.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(signatures.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    both = with_ends(pairs, signatures, "sig")
 
     def make():
         def step(a, b, x, y):
@@ -142,9 +176,17 @@ def prune(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     return map_columns(both.select("a", "b", "sig_a", "sig_b"), make, "a long, b long", rows=4096)
 
 
+def with_ends(pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """pairs a, b with the column of that name of either node; a centre may stand in very many pairs."""
+    total = pairs.count()
+    one = salted_join(pairs, found.select(F.col("node").alias("a"), F.col(name).alias(f"{name}_a")), "a", F.col("b"), total=total)
+    per = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    return salted_join(one, found.select(F.col("node").alias("b"), F.col(name).alias(f"{name}_b")), "b", F.col("a"), counts=per, total=total)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs a, b whose full shingle sets are similar enough: 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+    """Pairs a, b (a written table) whose full shingle sets are similar enough: 100 * intersection >= percent * union."""
+    both = with_ends(pairs, texts, "text")
 
     def make():
         words = _Words()
@@ -174,7 +216,8 @@ def components(links: DataFrame, label: str) -> DataFrame:
     """node, comp: the least node reachable, for each node of links a, b.
 
     Every round maps nodes to the least neighbour, doubles the jump, and contracts the links to those between different
-    labels; chains halve at least, so rounds grow with the logarithm of the longest chain.
+    labels; chains halve at least, so rounds grow with the logarithm of the longest chain. A round's tables are deleted
+    when the next has been written.
     """
     labels = None
     edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{label}-edges")
@@ -182,25 +225,31 @@ def components(links: DataFrame, label: str) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a")))
         parent = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("comp")), f"{label}-parents")
         if labels is not None and not parent.head(1):
+            discard(edges, parent)
             return labels
         up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        jumped = parent.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-        jumped = materialize(jumped, f"{label}-jumps")
+        jumped = materialize(salted_join(parent, up, "comp", F.col("node"), "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{label}-jumps")
         if labels is None:
             if not jumped.head(1):
                 return jumped
             labels = jumped
         else:
             move = jumped.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            labels = materialize(labels.join(move, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{label}-labels")
+            old = labels
+            labels = materialize(salted_join(old, move, "comp", F.col("node"), "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{label}-labels")
+            discard(old)
         to = jumped.select(F.col("node").alias("a"), F.col("comp").alias("x"))
         other = jumped.select(F.col("node").alias("b"), F.col("comp").alias("y"))
-        edges = edges.join(to, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-        edges = materialize(edges, f"{label}-edges")
+        total = edges.count()
+        ends = salted_join(edges, to, "a", F.col("b"), total=total)
+        ends = salted_join(ends, other, "b", F.col("a"), counts=edges.groupBy("b").agg(F.count("*").alias("n")), total=total)
+        now = materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), f"{label}-edges")
+        discard(edges, parent, *([jumped] if jumped is not labels else []))
+        edges = now
 
 
 def parity_maps(texts: DataFrame, size: int) -> DataFrame:
-    """cid, n and m0, m1, ...: a class's shingles, and the parity of how many of them fall on each of MAP_BITS bits.
+    """node, n and m0, m1, ...: a class's shingles, and the parity of how many of them fall on each of MAP_BITS bits.
 
     A shingle that only one of two sets has changes one bit, so maps differ in at most as many bits as the sets have
     shingles not in common: a bound on the similarity that never rules out a pair which reaches it.
@@ -218,58 +267,70 @@ def parity_maps(texts: DataFrame, size: int) -> DataFrame:
 
         return step
 
-    return map_columns(texts.select("cid", "text"), make, "cid long, n long, " + ", ".join(f"m{k} long" for k in range(longs)))
+    return map_columns(texts.select("node", "text"), make, "node long, n long, " + ", ".join(f"m{k} long" for k in range(longs)))
 
 
-def link_classes(docs: DataFrame, unique: DataFrame, size: int, percent: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(links a, b between classes; node, comp)."""
+def link_classes(docs: DataFrame, per: DataFrame, repeated: DataFrame, same: DataFrame | None, size: int, percent: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(links a, b between classes; node, comp). same: links between classes that are known from the start."""
     spark = docs.sparkSession
-    banded = unique.select("cid", F.explode("bands").alias("bucket"))
+    banded = per.select("node", F.explode("bands").alias("bucket"))
     # a bucket of one class has no pairs; the centre is the least class of the others
-    shared = banded.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("last")).filter("centre < last").select("bucket", "centre")
-    members = materialize(banded.join(shared, "bucket"), "dedup-buckets")
-    near = members.select("cid").distinct()
-    signatures = materialize(unique.join(near, "cid").select("cid", "sig"), "dedup-near-signatures")
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(near, "cid"), "dedup-near-texts")
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).filter("centre < last").select("bucket", "centre", "n")
+    shared = materialize(shared, "dedup-shared")
+    members = materialize(salted_join(banded, shared.drop("n"), "bucket", F.col("node"), counts=shared), "dedup-buckets")
+    near = members.select("node").distinct()
+    of_near = materialize(per.join(near, "node").select("node", "cid", "digest", "sig"), "dedup-near")
+    signatures = of_near.select("node", "sig")
+    texts = materialize(class_texts(docs, of_near.select("node", "cid", "digest"), repeated, size), "dedup-near-texts")
     tried = spark.createDataFrame([], "a long, b long")
     links = spark.createDataFrame([], "a long, b long")
-    comps = spark.createDataFrame([], "node long, comp long")
+    comps = components(same, "dedup") if same is not None else spark.createDataFrame([], "node long, comp long")
 
     def test(pairs: DataFrame, name: str) -> None:
         """Prune and verify pairs not tried before; new links may join components."""
         nonlocal tried, links, comps
         fresh = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), f"dedup-pairs-{name}")
-        found = materialize(verify(prune(fresh, signatures, percent), texts, size, percent), f"dedup-links-{name}")
+        likely = materialize(prune(fresh, signatures, percent), f"dedup-likely-{name}")
+        found = materialize(verify(likely, texts, size, percent), f"dedup-links-{name}")
+        discard(likely)
         tried = tried.union(fresh)
         if found.head(1):
             links = links.union(found)
-            comps = components(links, "dedup")
+            comps = components(links if same is None else links.union(same), "dedup")
 
     def with_components(left: DataFrame) -> DataFrame:
-        return left.join(comps, F.col("cid") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "cid"))
+        # a class stands in at most BANDS buckets, so no key is hot
+        return left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    test(members.select(F.col("centre").alias("a"), F.col("cid").alias("b")).filter("a <> b"), "0")
-    left = members.filter("cid <> centre").select("bucket", "cid")
+    test(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).filter("a <> b"), "0")
+    left = members.filter("node <> centre").select("bucket", "node")
     for k in range(1, rounds):
-        now = with_components(left)
-        best = F.max(F.struct(F.xxhash64("cid", F.lit(k)), F.col("cid"), F.col("comp"))).alias("c")
-        spans = now.groupBy("bucket").agg(best, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        open_ = materialize(now.join(spans.select("bucket", F.col("c.cid").alias("centre"), F.col("c.comp").alias("centre_comp")), "bucket"), f"dedup-open-{k}")
+        now = materialize(with_components(left), f"dedup-now-{k}")
+        best = F.max(F.struct(F.xxhash64("node", F.lit(k)), F.col("node"), F.col("comp"))).alias("c")
+        spans = now.groupBy("bucket").agg(best, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+        spans = materialize(spans.select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), f"dedup-spans-{k}")
+        open_ = materialize(salted_join(now, spans.drop("n"), "bucket", F.col("node"), counts=spans), f"dedup-open-{k}")
+        discard(now)
         if not open_.head(1):
             return links, comps
-        test(open_.filter("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("cid").alias("b")), str(k))
-        left = open_.filter("cid <> centre").select("bucket", "cid")
-    now = with_components(left)
-    most = now.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("spans")).filter("spans > 1")
-    open_ = materialize(now.join(most.select("bucket", "most"), "bucket"), "dedup-rest")
+        test(open_.filter("comp <> centre_comp").select(F.col("centre").alias("a"), F.col("node").alias("b")), str(k))
+        left = open_.filter("node <> centre").select("bucket", "node")
+    now = materialize(with_components(left), "dedup-rest-now")
+    most = now.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"), F.count("*").alias("spans"), F.sum("count").alias("n")).filter("spans > 1")
+    most = materialize(most.select("bucket", "most", "n"), "dedup-most")
+    open_ = materialize(salted_join(now, most.withColumnRenamed("n", "size"), "bucket", F.col("node"), counts=most), "dedup-rest")
     if open_.head(1):
-        maps = materialize(parity_maps(texts.join(open_.select("cid").distinct(), "cid"), size), "dedup-maps")
-        every = open_.join(maps, "cid").drop("most").withColumnRenamed("cid", "b")
-        lesser = open_.filter("comp <> most").join(maps, "cid").drop("most").withColumnRenamed("cid", "a")
+        maps = materialize(parity_maps(texts.join(open_.select("node").distinct(), "node"), size), "dedup-maps")
+        # a bucket's members are dealt to blocks, each of which the members of lesser components meet in a task of its own
+        blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+        every = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).join(maps, "node").select("bucket", "block", "comp", F.col("node").alias("b"), *maps.columns[1:])
+        lesser = open_.filter("comp <> most").join(maps, "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        lesser = lesser.select("bucket", "block", "comp", F.col("node").alias("a"), *maps.columns[1:])
         x, y = lesser.alias("x"), every.alias("y")
         apart = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in maps.columns if m.startswith("m")), F.lit(0))
         near_enough = apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-        test(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & near_enough).select("a", "b"), "rest")
+        met = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block"))
+        test(x.join(y, met & (F.col("x.comp") != F.col("y.comp")) & near_enough).select("a", "b"), "rest")
     return links, comps
 
 
@@ -277,25 +338,39 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """doc_id, n_shingles, component_id, links, kept: a row per row of docs.
 
     Null texts and texts without words have no shingles and are linked with nothing. Rows that share an id are one
-    document, linked as any of them is. Rows without an id are linked with nothing: their component is null and they are
-    kept. kept is true for every row whose id is its component's. Other columns are ignored.
+    document: what any of its texts is linked with is in its component, and all its rows have that component. links counts
+    the verified links of a row's text with other texts. Rows without an id are linked with nothing: their component is
+    null and they are not kept by id. kept is true for every row whose id is its component's. Other columns are ignored.
     """
-    members, unique = classes(docs, size)
-    links, comps = link_classes(docs, unique, size, percent)
+    rows, per, repeated = classes(docs, size)
+    several = bool(repeated.head(1))
+    same = materialize(same_document(rows, per, repeated), "dedup-same-links") if several else None
+    links, comps = link_classes(docs, per, repeated, same, size, percent)
+    per = per.select("node", "digest", "cid", "n")
+    # a component's id is its least document's; class by class, then one join of all rows by digest
+    own = materialize(comps.join(per.select("node", "cid"), "node"), "dedup-comps")
+    least = own.groupBy("comp").agg(F.min("cid").alias("least"))
+    named = salted_join(own, least, "comp", F.col("node")).select("node", "least")
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b"))).groupBy("node").agg(F.count("*").alias("links"))
-    labels = comps.join(ends, "node", "left")
-    return (
-        members.join(labels, F.col("cid") == F.col("node"), "left")
-        .withColumn("component_id", F.coalesce("comp", "cid", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    known = materialize(per.join(named, "node", "left").join(ends, "node", "left").select("digest", "n", F.coalesce("least", "cid").alias("component_id"), "links"), "dedup-known")
+    out = salted_join(rows, known.drop("n"), "digest", F.col("doc_id"), "left", counts=known.select("digest", "n"))
+    if several:
+        # an id's texts are in one component; its rows without words are told by the id
+        ids = salted_join(rows.filter("digest IS NOT NULL"), repeated, "doc_id", F.col("digest")).select("doc_id", "digest").distinct()
+        told = ids.join(known.select("digest", "component_id"), "digest").groupBy("doc_id").agg(F.min("component_id").alias("told"))
+        out = salted_join(materialize(out, "dedup-rows"), told, "doc_id", F.xxhash64("digest", "n_shingles"), "left").withColumn("component_id", F.coalesce("told", "component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, of which one document of each component stays, and one row of each document that repeats."""
-    kept = deduplicate(docs, size, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    from pyspark.sql import Window
+    """The rows of docs, all columns, of which one document of each component stays, and one row of each id that repeats.
 
-    order = Window.partitionBy("__kept").orderBy(F.xxhash64("text"))
-    named = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept")).withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    That row is the one of the least hash of its text, any of those alike. Rows without an id stay, as nothing links
+    them. Rows travel as structs, so columns may have any names. No rows give none.
+    """
+    kept = deduplicate(docs, size, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("hash"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    # aggregated before the shuffle: the rows of one id may be very many
+    one = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("row", "hash").alias("row"))
+    return one.join(kept, "doc_id").select("row.*").unionByName(rows.filter("doc_id IS NULL").select("row.*"))
