@@ -10,12 +10,11 @@ prior's mean. A document that breaks two soft rules is rejected, on bad hosts on
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import bounded_batches, map_columns, materialize
+from tersa.llm.common import append_columns, map_columns, materialize
 
 SPACES, SYMBOLS, WINDOW = "\t\n\x0b\x0c\r ", "#*$%&|<>", 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -140,17 +139,30 @@ def judge(docs: DataFrame, bad_rate: float = BAD_RATE, margin: float = MARGIN) -
 
 
 def keep_good(docs: DataFrame, bad_rate: float = BAD_RATE, margin: float = MARGIN) -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps. Texts are counted again rather than shuffled to meet a verdict."""
-    counted = materialize(with_counts(docs), "quality-counts")
-    hosts = materialize(host_verdicts(counted, bad_rate, margin), "quality-hosts").select(F.col("host"), F.col("host_bad"))
+    """The rows of docs, all columns, that judge() keeps; texts are read and counted once.
+
+    Nulls, empty texts and repeated rows are judged as judge() does. Rows travel as structs, so columns may have any names;
+    without rows there are none. Only a row that breaks one soft rule waits for its host's verdict: rows that are rejected
+    whatever their host are written without their columns, to be counted for the host.
+    """
 
-    @F.pandas_udf(COUNTS)
-    def counts(texts):
+    def make():
         hashes = _Hashes()
-        return pd.DataFrame([count_text(t, hashes) for t in texts], columns=COUNTS.replace(" long", "").split(", "))
 
-    bounded_batches(docs.sparkSession)
-    # the rows travel as one struct, so that no column of theirs can clash with the rules'
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), counts(docs["text"]).alias("c")).select("row", "c.*")
-    joined = rows.join(hosts, F.col("row.source").cast("string").eqNullSafe(F.col("host")), "left")
+        def step(texts):
+            counts = [count_text(t, hashes) for t in texts]
+            return [[may_stay(*c) for c in counts], *zip(*counts)]
+
+        return step
+
+    counted = append_columns(docs, docs["text"], make, COUNTS, (docs["source"].cast("string").alias("source"),))
+    counted = materialize(counted, "quality-rows")
+    hosts = materialize(host_verdicts(counted, bad_rate, margin), "quality-hosts").select("host", "host_bad")
+    joined = counted.filter("row IS NOT NULL").join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
     return joined.filter(verdict()).select("row.*")
+
+
+def may_stay(words: int, chars: int, symbols: int, dup_lines: int, repeats: int) -> bool:
+    """Whether some host's verdict keeps a document of these counts."""
+    soft = (symbols * 100 > chars * SOFT_SYMBOLS_PERCENT) + (dup_lines >= SOFT_DUP_LINES) + (repeats * 100 > words * SOFT_REPEAT_PERCENT)
+    return words >= MIN_WORDS and repeats * 100 <= words * MAX_REPEAT_PERCENT and soft < 2
