@@ -1,25 +1,34 @@
 """Secret scans by patterns and by inferred grammars.
 
-Base patterns find credentials that say what they are. Their values are the labelled credentials, of which a bounded
-sample is drawn by a hash of the value, from all documents: for each kind a prefix tree of them is reduced by merging states whose continuations agree within Hoeffding
-bounds (ALERGIA), which leaves a probabilistic automaton of the kind's format. Ordinary long tokens of the sample, without
-those that look like a format's own and unlike the others, as bare credentials do, give a background automaton. Every long token of every document is then scored by its log likelihood per character under the
-best format against the background; tokens that a format makes as likely as its own credentials, and more likely than the
-background does by a threshold, and such values after a ``=`` in them, become spans of kind ``grammar``, unless a base span
-covers part of them. Characters are read as classes, but for the first four, which often are a fixed prefix.
+Base patterns find credentials that say what they are. Their values are the labelled credentials, of which a bounded sample
+is drawn by a hash of the value, from all documents. A value is read as symbols: beginnings that many labelled values share
+stay as they are, separators stay, and each character of the runs between them stands as the class of its run (hex digits,
+lower-case letters and digits, ...), so that a format is its beginning, its layout, its alphabets and its lengths. For each
+kind a prefix tree of the sample is reduced by merging states (red and blue ones, as in ALERGIA) whose ends and continuations,
+here and below, differ no more than chance explains; a state that few values reach is never merged, so that what was seen
+too seldom is not generalised. That leaves a probabilistic automaton of the kind's formats, in which lengths and layout survive.
+
+Ordinary long tokens of the sample, without those that look like a format's own and unlike the others, as bare credentials
+do, give a background automaton. Every long token of every document, and such values after a ``=`` in it, is then scored. It
+becomes a span of kind ``grammar``, unless a base span covers part of it, if a format makes it as likely as all but FLOOR of
+its own labelled values, and the formats make it more likely than the background does by the factor 1 / FALSE_ALARMS: under the
+background's own distribution such a token has at most that probability (Markov's inequality on the likelihood ratio).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tersa.llm.common import map_columns
+from tersa.llm.common import map_columns, materialize
 
 #: The base patterns (fixed values); least length of what must be long enough.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,8 +37,12 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_CANDIDATE = 12, 18, 16, 16
 KINDS = ("assign", "access", "hex", "grammar")
 HINTS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
-TRAIN_TOKENS, TRAIN_CHARS = 400, 128
-ALPHA, LITERAL, LEAST_MARGIN, SLACK = 0.05, 4, 0.3, 0.15
+#: Values learnt from, of each kind at most; of a longer value the rest is not learnt.
+TRAIN_TOKENS, TRAIN_CHARS = 400, 1024
+#: Chance of a false alarm under the background; share of a format's values that may score below its floor, and what a little less than a floor still is.
+FALSE_ALARMS, FLOOR, SLACK = 1e-4, 0.02, 1.0
+#: Standard errors by which merged states' shares may differ; fewest values that reach a state to be merged, or share a beginning.
+APART, LEAST_VISITS, LEAST_KIND = 2.5, 8, 5
 
 _assign, _access, _hex, _candidate = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(r"[0-9a-f]{16,}"), re.compile(CANDIDATE)
 
@@ -63,24 +76,56 @@ def candidates(token: str) -> list[str]:
     return [token, *(token[k:] for k in ends if len(token) - k >= MIN_CANDIDATE)]
 
 
-def symbols(token: str) -> list[str]:
-    """The first characters themselves, then classes: digit, a-f, g-z, A-F, G-Z, other."""
-    return [*token[:LITERAL], *token[LITERAL:].translate(_CLASSES)]
-
-
-_CLASSES = {ord(c): ("d" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "H" if c <= "F" else "U") for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): "s" for c in "+/_.=-"}
+_RUNS = re.compile(r"[A-Za-z0-9]+|[+/_.=-]")
+#: Classes of a run, the first that holds all its characters.
+ALPHABETS = tuple((name, re.compile(f"[{chars}]+").fullmatch) for name, chars in (("d", "0-9"), ("x", "0-9a-f"), ("X", "0-9A-F"), ("l", "a-z"), ("U", "A-Z"), ("a", "0-9a-z"), ("A", "0-9A-Z"), ("m", "a-zA-Z"), ("M", "0-9a-zA-Z")))
+#: Each character of a run stands for itself up to this length; from there, a symbol for each sixteenth of a doubling.
+PLAIN_RUN = 256
+
+
+class Beginnings:
+    """Beginnings that many values share: at each place a character stays while far more values have it than any would by chance."""
+
+    def __init__(self, values: dict[str, list[str]]):
+        self.known: set[str] = set()
+        for of in values.values():
+            level = {"": sorted(set(of))}
+            while level:
+                deeper = {}
+                for start, some in level.items():
+                    following: dict[str, list[str]] = {}
+                    for v in some:
+                        if len(v) > len(start):
+                            following.setdefault(v[len(start)], []).append(v)
+                    for c, those in following.items():
+                        # a character of sixteen, by chance, within a bound that fails once in a thousand
+                        if len(those) >= LEAST_VISITS and len(those) / len(some) > 1 / 16 + math.sqrt(math.log(1000) / (2 * len(some))):
+                            self.known.add(start + c)
+                            deeper[start + c] = those
+                level = deeper
+
+    def __call__(self, value: str) -> list[str]:
+        """The symbols of a value."""
+        n = 0
+        while n < len(value) and value[: n + 1] in self.known:
+            n += 1
+        out = [f"'{c}" for c in value[:n]]
+        for run in _RUNS.findall(value, n):
+            name = next((k for k, holds in ALPHABETS if holds(run)), run)
+            long = len(run) - PLAIN_RUN
+            out += [name] * (min(len(run), PLAIN_RUN) + (round(16 * math.log2(len(run) / PLAIN_RUN)) if long > 0 else 0))
+        return out
 
 
 class Automaton:
     """A probabilistic automaton: per state its visits, its ends and per symbol [times, next state]."""
 
-    SMOOTH, WIDTH = 0.1, 70
+    SMOOTH, WIDTH = 0.1, 32
 
-    def __init__(self, tokens: list[str], alpha: float = ALPHA):
+    def __init__(self, words: list[list[str]]):
         self.visits, self.ends, self.next = [0], [0], [{}]
-        for token in sorted(tokens):
-            self._add(symbols(token[:TRAIN_CHARS]))
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        for word in sorted(words):
+            self._add(word)
         self._merge_states()
         self._compact()
 
@@ -98,14 +143,20 @@ class Automaton:
         self.visits[at] += 1
         self.ends[at] += 1
 
-    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > self.bound * (n**-0.5 + m**-0.5)
+    @staticmethod
+    def _differ(a: int, n: int, b: int, m: int) -> bool:
+        """Whether the shares a of n and b of m are more than APART standard errors apart, the pooled share being both's."""
+        share = (a + b) / (n + m)
+        return (a / n - b / m) ** 2 > APART**2 * share * (1 - share) * (1 / n + 1 / m)
 
     def _compatible(self, p: int, q: int) -> bool:
         """Whether ends and symbols, here and below, could come from one state."""
-        stack = [(p, q)]
+        stack, seen = [(p, q)], set()
         while stack:
             p, q = stack.pop()
+            if (p, q) in seen:
+                continue
+            seen.add((p, q))
             n, m = self.visits[p], self.visits[q]
             if not n or not m:
                 continue
@@ -137,19 +188,26 @@ class Automaton:
     def _merge_states(self) -> None:
         """Red states stay; each state next to them is merged into the first red one that it is compatible with, or turns red."""
         red, inside = [0], {0}
-        while True:
-            edges = [(-self.visits[e[1]], p, s, e[1]) for p in red for s, e in self.next[p].items() if e[1] not in inside]
-            if not edges:
-                return
-            _, p, s, blue = min(edges)
-            for r in red:
-                if self._compatible(r, blue):
-                    self.next[p][s][1] = r
-                    self._fold(r, blue)
-                    break
-            else:
+        edge = [(-self.visits[to], 0, s, to) for s, (_, to) in self.next[0].items()]
+        heapq.heapify(edge)
+        while edge:
+            _, p, s, blue = heapq.heappop(edge)
+            if self.next[p][s][1] != blue or blue in inside:
+                continue
+            # what few values reach says too little to be one with another state
+            into = next((r for r in red if self.visits[r] >= LEAST_VISITS and self._compatible(r, blue)), None) if self.visits[blue] >= LEAST_VISITS else None
+            if into is None:
                 red.append(blue)
                 inside.add(blue)
+                for t, (_, to) in self.next[blue].items():
+                    heapq.heappush(edge, (-self.visits[to], blue, t, to))
+                continue
+            self.next[p][s][1] = into
+            self._fold(into, blue)
+            for r in red:  # folding may have put new states next to red ones
+                for t, (_, to) in self.next[r].items():
+                    if to not in inside:
+                        heapq.heappush(edge, (-self.visits[to], r, t, to))
 
     def _compact(self) -> None:
         """Drop the states that merging left behind."""
@@ -163,43 +221,49 @@ class Automaton:
         self.next = [{s: [n, number[to]] for s, (n, to) in self.next[p].items()} for p in queue]
 
     def score(self, word: list[str]) -> float:
-        """Log likelihood per symbol; a symbol that a state never met leaves the state as it is."""
+        """Log likelihood; a symbol that a state never met leaves the state as it is."""
         at, total = 0, 0.0
         for s in word:
             edge = self.next[at].get(s)
             total += math.log(((edge[0] if edge else 0) + self.SMOOTH) / (self.visits[at] + self.SMOOTH * self.WIDTH))
             at = edge[1] if edge else at
-        return (total + math.log((self.ends[at] + self.SMOOTH) / (self.visits[at] + self.SMOOTH * self.WIDTH))) / (len(word) + 1)
+        return total + math.log((self.ends[at] + self.SMOOTH) / (self.visits[at] + self.SMOOTH * self.WIDTH))
 
 
 class Grammars:
     """Format automata of the kinds and one of ordinary tokens."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.formats = {k: Automaton(v) for k, v in sorted(labelled.items()) if len(v) >= 5}
-        self.floors = {k: min(self.formats[k].score(symbols(t[:TRAIN_CHARS])) for t in labelled[k]) - SLACK for k in self.formats}
+        labelled = {k: v for k, v in sorted(labelled.items()) if len(v) >= LEAST_KIND}
+        self.read = Beginnings(labelled)
+        words = {k: [self.read(t[:TRAIN_CHARS]) for t in v] for k, v in labelled.items()}
+        self.formats = {k: Automaton(w) for k, w in words.items()}
+        self.floors = {}
+        for k, w in words.items():
+            scores = sorted(map(self.formats[k].score, w))
+            self.floors[k] = scores[int(FLOOR * len(scores))] - SLACK
         # bare credentials are among the ordinary tokens: what a format makes as likely as its own is left out of the
         # background, but for what the others explain nearly as well
-        alike = {t for t in ordinary if math.isfinite(self.likely(symbols(t[:TRAIN_CHARS])))}
-        others = [t for t in ordinary if t not in alike]
-        self.ordinary = Automaton(others) if others else None
-        back = [t for t in sorted(alike) if self.margin(t) <= LEAST_MARGIN] if others else []
+        every = [self.read(t[:TRAIN_CHARS]) for t in ordinary]
+        others = [w for w in every if self.likely(w) == -math.inf]
+        alike = [w for w in every if self.likely(w) > -math.inf]
+        self.background = Automaton(others)
+        back = [w for w in alike if not self.passes(w)]
         if back:
-            self.ordinary = Automaton(others + back)
-        # no token of the background passes
-        self.threshold = max([LEAST_MARGIN, *(self.margin(t) + 0.1 for t in back)])
+            self.background = Automaton(others + back)
 
     def likely(self, word: list[str]) -> float:
-        """The best format's log likelihood; what no format makes likely is no credential, however odd it is among ordinary tokens."""
+        """Log likelihood of the formats that take the word for their own, all formats being equally likely; -inf if none does."""
         scores = {k: a.score(word) for k, a in self.formats.items()}
-        return max((x for k, x in scores.items() if x >= self.floors[k]), default=-math.inf)
+        best = max((x for k, x in scores.items() if x >= self.floors[k]), default=-math.inf)
+        return best - math.log(len(self.formats)) if self.formats else -math.inf
 
-    def margin(self, token: str) -> float:
-        word = symbols(token[:TRAIN_CHARS])
-        return self.likely(word) - (self.ordinary.score(word) if self.ordinary else math.log(1 / Automaton.WIDTH))
+    def passes(self, word: list[str]) -> bool:
+        found = self.likely(word)
+        return found > -math.inf and found - self.background.score(word) > -math.log(FALSE_ALARMS)
 
     def accepts(self, token: str) -> bool:
-        return self.margin(token) > self.threshold
+        return self.passes(self.read(token))
 
 
 def rank(value: str) -> int:
@@ -251,12 +315,24 @@ def infer_grammars(docs: DataFrame, train_tokens: int = TRAIN_TOKENS) -> Grammar
         return step
 
     # a task gives train_tokens values of a kind and, by the logarithm of its rows, some that later ones displace
-    found = map_columns(docs.select("text"), make, "kind string, value string, rank long").distinct()
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy("rank", "value"))
+    found = materialize(map_columns(docs.select("text"), make, "kind string, value string, rank long"), "secret-values")
+    # a rank's power of two below which there are enough values: no kind's values are ever brought together but the least
+    counted = found.groupBy("kind", F.length(F.bin("rank")).alias("bits")).agg(F.approx_count_distinct("rank", 0.02).alias("n")).collect()  # at most 4 x 57 rows
+    upto: dict[str, int] = {}
+    for kind in {r["kind"] for r in counted}:
+        n = 0
+        for r in sorted((r for r in counted if r["kind"] == kind), key=lambda r: r["bits"]):
+            upto[kind], n = r["bits"], n + r["n"]
+            if n >= 1.2 * train_tokens:
+                break
+    low = [(F.col("kind") == k) & (F.length(F.bin("rank")) <= bits) for k, bits in upto.items()]
     values: dict[str, list[str]] = {}
-    # at most 4 kinds x train_tokens values of TRAIN_CHARS characters
-    for kind, value in found.withColumn("nth", nth).filter(F.col("nth") <= train_tokens).select("kind", "value").collect():
-        values.setdefault(kind, []).append(value)
+    if low:
+        some = found.filter(functools.reduce(lambda a, b: a | b, low)).select("kind", "rank", "value").distinct()
+        # about 2.4 x train_tokens values a kind, each of TRAIN_CHARS characters at most, as every bit more doubles their number
+        for kind, n, value in sorted(map(tuple, some.collect())):
+            if len(values.setdefault(kind, [])) < train_tokens:
+                values[kind].append(value)
     ordinary = values.pop("ordinary", [])
     return Grammars(values, ordinary)
 
@@ -323,7 +399,10 @@ def scan(docs: DataFrame, grammars: Grammars | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs, all columns, with each run of overlapping spans of ``text`` replaced by mark, and ``n_chars`` counted anew if there is one."""
+    """docs, all columns, with each run of overlapping spans of ``text`` replaced by mark, and ``n_chars`` counted anew if there is one.
+
+    Null and empty texts stay as they are, repeated rows are redacted alike, and no rows give none. Other columns are untouched.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(infer_grammars(docs))
 
     def clean(scanner: Scanner, text: str | None) -> str | None:
@@ -337,12 +416,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return "".join(out) + text[at:]
 
     @F.pandas_udf("string")
-    def cleaned(texts):
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(shared.value)
-        return texts.map(lambda t: clean(scanner, t))
-
-    from tersa.llm.common import bounded_batches
+        for texts in batches:
+            yield texts.map(lambda t: clean(scanner, t))
 
-    bounded_batches(docs.sparkSession)
     out = docs.withColumn("text", cleaned("text"))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
