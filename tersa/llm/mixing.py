@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tersa.llm.common import materialize, n_words
 
-CAP, SEED, UNIT, RUN = 3, "mix-1", 1 << 31, 50_000
+CAP, SEED, UNIT, SALTS = 3, "mix-1", 1 << 31, 256
 
 
 def size_class(size: Column) -> Column:
@@ -24,46 +24,55 @@ def size_class(size: Column) -> Column:
     return (shift * 64 + F.floor(size / F.pow(F.lit(2.0), shift))).cast("long")
 
 
-def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
-    """source, source_size, target: weights 1, 2, 3 by the order of code points, filled up to cap * source_size.
+def id_salt(doc_id: Column, salts: int = SALTS) -> Column:
+    """0 to salts - 1 by all digits of the id, so that ids in steps are dealt out too."""
+    return F.pmod(doc_id + F.floor(doc_id / salts) + F.floor(doc_id / (salts * salts)), F.lit(salts)).cast("long")
 
-    The windows without a key run over one row per source, not over documents. Reshared excess ends at one level L with
-    target = min(cap * size, L * weight): sources are filled in order of cap * size / weight while the level reaches them.
-    """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weighted = sizes.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1).withColumn("most", F.col("source_size") * cap)
-    fill = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before, rest = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    levels = weighted.withColumn("total", F.sum("source_size").over(every)).withColumn(
-        "level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    )
-    # the first source, in this order, that the level of the rest does not fill sets the level
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), F.col("level")))).over(every)
-    return levels.withColumn("set", first["level"]).select(
-        "source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("set") * F.col("weight"), F.col("most").cast("double"))).alias("target")
-    )
 
+def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
+    """source, source_size, target: weights 1, 2, 3 by the order of code points, null last, filled up to cap * source_size.
 
-def copies_plan(docs: DataFrame, cap: int = CAP, seed: str = SEED, run: int = RUN, carry: bool = False) -> DataFrame:
+    Sources may be as many as hosts, so they are ranked by a distributed sort. Reshared excess ends at one level L with
+    target = min(cap * size, L * weight): from the level at which no source is full, those that are above it are filled and
+    the level of the rest is computed again, which can only rise, until no further source is full.
+    """
+    named = sizes.filter("source IS NOT NULL").repartitionByRange("source").withColumn("range", F.spark_partition_id())
+    named = materialize(named, "mix-sources")
+    starts = named.groupBy("range").agg(F.count("*").alias("n"))  # a row per partition of the sort
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("source")) + F.col("start")
+    ranked = named.join(F.broadcast(starts), "range").select("source", "source_size", rank.alias("rank"))
+    last = sizes.filter("source IS NULL").select("source", "source_size", F.lit(named.count() + 1).cast("long").alias("rank"))
+    weighted = ranked.unionByName(last).select("source", "source_size", ((F.col("rank") - 1) % 3 + 1).alias("weight"), (F.col("source_size") * cap).alias("most"))
+    weighted = materialize(weighted, "mix-weights")
+    level, full = 0.0, -1
+    while True:
+        filled = F.col("most") < F.lit(level) * F.col("weight")
+        found = weighted.agg(F.count_if(filled), F.sum("source_size"), F.coalesce(F.sum(F.when(filled, F.col("most"))), F.lit(0)), F.sum(F.when(~filled, F.col("weight")))).first()
+        if found[0] == full or not found[3]:
+            break
+        full, level = found[0], (found[1] - found[2]) / found[3]
+    return weighted.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def copies_plan(docs: DataFrame, cap: int = CAP, seed: str = SEED, salts: int = SALTS, carry: bool = False) -> DataFrame:
     """doc_id, size, source, source_size, target, copies (and row, a struct of all columns of docs, if asked for); see mix()."""
     named = [F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")]
     sizes = materialize(docs.select(*named), "mix-sizes").withColumn("class", size_class(F.col("size")))
     aims = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), cap), "mix-targets")
-    # a class of many rows is salted by the id, so that no task ranks more than about `run` rows
-    classes = sizes.groupBy(F.col("source").alias("c_source"), F.col("class").alias("c_class")).agg(F.ceil(F.count("*") / run).cast("long").alias("salts"))
-    classes = materialize(classes, "mix-classes")
-
-    def salted(rows: DataFrame) -> DataFrame:
-        salt = F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("salts")).alias("salt")
-        joined = rows.join(classes, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")))
-        return joined.select(*rows.columns, salt)
+    # every class is dealt to the same number of salts by the id, at every size of the corpus: no task ranks a class of many rows
+    salted = lambda rows: rows.withColumn("salt", id_salt(F.coalesce("doc_id", F.lit(0)), salts))
 
     key = ["source", "class", "salt"]
     counts = salted(sizes).groupBy(*key).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    starts = starts.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # a source has at most as many classes as there are numbers of them, a class at most `salts` salts
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy(F.col("source").alias("s"), F.col("class").alias("c")).agg(F.sum("n").alias("n"))
+    classes = classes.select("s", "c", earlier(Window.partitionBy("s").orderBy("c")).alias("class_start"))
+    classes = classes.join(aims.withColumnRenamed("source", "a"), F.col("s").eqNullSafe(F.col("a"))).drop("a")
+    starts = counts.select(*key, earlier(Window.partitionBy("source", "class").orderBy("salt")).alias("within"))
+    starts = starts.join(classes, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).withColumn("start", F.col("class_start") + F.col("within")).drop("s", "c")
     rows = docs.select(*named, F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumn("class", size_class(F.col("size"))) if carry else sizes
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
     ranked = salted(rows).withColumn("rank", rank).alias("r")
@@ -87,7 +96,10 @@ def copies_plan(docs: DataFrame, cap: int = CAP, seed: str = SEED, run: int = RU
 
 
 def emit(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs, all columns, as many times as it is drawn."""
+    """The mix itself: each row of docs, all columns, as many times as it is drawn; see mix() for nulls, repeats and no rows.
+
+    Rows travel as structs, so columns may have any names.
+    """
     plan = copies_plan(docs, cap, seed, carry=True).filter("copies > 0")
     return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 

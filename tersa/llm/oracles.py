@@ -34,8 +34,8 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 g AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight, source_size * {mixing.CAP} AS most FROM s),
 v AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM g WINDOW o AS (ORDER BY most / weight, source IS NULL, source)),
 t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce((SELECT arg_min(level, most / weight) FROM v WHERE level * weight <= most) * weight, CAST(most AS DOUBLE))) AS target FROM v),
-b AS (SELECT source, class, CAST(ceil(count(*) / {mixing.RUN}) AS BIGINT) AS salts FROM k GROUP BY source, class),
-n AS (SELECT k.doc_id, k.source, k.size, row_number() OVER (PARTITION BY k.source ORDER BY k.class, coalesce(k.doc_id, 0) % b.salts, k.size, k.doc_id) AS nth FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.class = b.class),
+b AS (SELECT *, ((i + CAST(floor(i / {mixing.SALTS}) AS BIGINT) + CAST(floor(i / {mixing.SALTS**2}) AS BIGINT)) % {mixing.SALTS} + {mixing.SALTS}) % {mixing.SALTS} AS salt FROM (SELECT *, coalesce(doc_id, 0) AS i FROM k)),
+n AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY class, salt, size, doc_id) AS nth FROM b),
 r AS (SELECT n.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0 END AS ratio, CAST('0x' || left(md5('{mixing.SEED}:' || coalesce(n.source, chr(0) || 'null')), 7) AS BIGINT) * 8 AS shift FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CAST(least(floor(ratio), {mixing.CAP}) AS BIGINT) AS whole, CAST(least(floor((ratio - floor(ratio)) * {mixing.UNIT}), {mixing.UNIT - 1}) AS BIGINT) AS part FROM r)
 SELECT doc_id, size, source_size, target, CAST(least(whole + CAST((shift + part * (nth % {mixing.UNIT})) % {mixing.UNIT} < part AS BIGINT), {mixing.CAP}) * size AS BIGINT) AS taken FROM q
