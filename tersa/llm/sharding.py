@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tersa.llm.common import materialize
+
 SHARDS, FINE, BUNDLES, BLOCKS = 8, 1024, 1 << 16, 1024
 
 
@@ -44,14 +46,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, bundl
         # two texts that share a hash stay together as well, which no law forbids
         F.xxhash64(text).alias("grp"),
     )
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes")).persist()
-    try:
-        small = dict(groups.groupBy(F.pmod("grp", F.lit(bundles)).alias("b")).agg(F.sum("bytes")).collect())  # at most `bundles` rows
-        total = sum(small.values())
-        least = max(1, -(-total // (shards * fine)))
-        alone = dict(groups.filter(F.col("bytes") >= least).collect())  # at most shards * fine rows, as their bytes sum to total at most
-    finally:
-        groups.unpersist()
+    groups = materialize(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
+    small = dict(groups.groupBy(F.pmod("grp", F.lit(bundles)).alias("b")).agg(F.sum("bytes")).collect())  # at most `bundles` rows
+    total = sum(small.values())
+    least = max(1, -(-total // (shards * fine)))
+    alone = dict(groups.filter(F.col("bytes") >= least).collect())  # at most shards * fine rows, as their bytes sum to total at most
     units = {("a", g): n for g, n in alone.items()}
     for g, n in alone.items():
         small[g % bundles] -= n
