@@ -1,11 +1,11 @@
 """BPE encoding and decoding with a memory-mapped lexicon of frequent words.
 
-Words that the tokenizer knows whole, the frequent words of its language, are compiled into a minimal acyclic
-transducer: states with equal continuations are shared (Daciuk's construction over sorted words), and each arc carries the
-number of words that sort before it, so that the sum along a word is its rank, and the rank finds its ids. The arrays are
-one file, which SparkFiles brings to each executor, where it is mapped, not loaded. Words outside the lexicon are merged
-exactly, pair by pair. What a worker remembers of words
-met before is bounded by CACHE entries beside those of the batch at hand.
+Words are counted over all documents; the frequent ones, and those that the tokenizer knows whole, are compiled with their
+ids into a minimal acyclic transducer: states with equal continuations are shared (Daciuk's construction over sorted words),
+and each arc carries the number of words that sort before it, so that the sum along a word is its rank, and the rank finds
+its ids. The arrays are one file, which SparkFiles brings to each executor, where it is mapped, not loaded. Words outside
+the lexicon are merged exactly, pair by pair. What a worker remembers of words met before is bounded by CACHE entries
+beside those of the batch at hand.
 """
 
 from __future__ import annotations
@@ -15,18 +15,20 @@ import heapq
 import json
 import os
 import re
-import tempfile
 
 import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersa.llm.common import map_columns
+from tersa.llm.common import map_columns, materialize, shared_dir
+from tersa.llm.store import place
 
 #: The pre-tokenizer's pattern (fixed values); L and N stand for the Unicode classes of letters and numbers.
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 CACHE, WIDE = 300_000, 32
+#: Frequent words of a corpus that are compiled, at most; longer words, in bytes, are always merged.
+FREQUENT, LONGEST = 65_536, 64
 
 
 def pieces_pattern(end: int) -> str:
@@ -124,17 +126,14 @@ class Transducer:
             }
         )
 
-    def save(self, path: str) -> None:
+    def packed(self) -> bytes:
         """One file: a JSON line with the arrays' places, then the arrays, each at a multiple of 8 bytes."""
         arrays, at, head = {n: getattr(self, n) for n in self.FIELDS}, 0, {}
         for name, a in arrays.items():
             head[name] = [a.dtype.str, len(a), at]
             at += -(-a.nbytes // 8) * 8
         line = json.dumps(head).encode().ljust(1023) + b"\n"
-        with open(path, "wb") as f:
-            f.write(line)
-            for a in arrays.values():
-                f.write(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0"))
+        return line + b"".join(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in arrays.values())
 
     @classmethod
     def map(cls, path: str) -> Transducer:
@@ -286,7 +285,8 @@ class Vocabulary:
             model = json.load(f)
         of = {c: b for b, c in byte_chars().items()}
         vocab = model["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+        self.added = model.get("added_tokens", [])
+        self.special = {t["content"]: t["id"] for t in self.added}
         self.bytes: dict[int, bytes] = {i: bytes(of[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.singles = [vocab[c] for _, c in sorted(byte_chars().items())]
         self.pairs = {}
@@ -295,10 +295,21 @@ class Vocabulary:
             if a in vocab and b in vocab and a + b in vocab:
                 self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b], vocab[a], vocab[b]))
 
-    def lexicon(self) -> dict[bytes, list[int]]:
-        """The words with an id of their own: pieces that merge into one token."""
+    def lexicon(self, pieces: set[str] = frozenset()) -> dict[bytes, list[int]]:
+        """Ids of the words with an id of their own, which merge into one token, and of the given pieces."""
         merge = Merger(self.singles, self.pairs)
-        return {w: [i] for i, w in self.bytes.items() if merge(w) == [i]}
+        known = {w: [i] for i, w in self.bytes.items() if merge(w) == [i]}
+        return known | {w: merge(w) for w in (p.encode() for p in pieces) if w not in known}
+
+    def added_pattern(self) -> str | None:
+        """The added tokens' strings, the longest first, with the white space or the bounds that their flags ask for."""
+
+        def one(t: dict) -> str:
+            p = re.escape(t["content"])
+            p = rf"(?<!\w){p}(?!\w)" if t.get("single_word") else p
+            return r"\s*" * bool(t.get("lstrip")) + p + r"\s*" * bool(t.get("rstrip"))
+
+        return "|".join(map(one, sorted(self.added, key=lambda t: -len(t["content"])))) or None
 
 
 class Encoder:
@@ -312,7 +323,7 @@ class Encoder:
         self.token = vocabulary["bytes"] | {i: t.encode() for t, i in self.special.items()}
         self.narrow, self.wide = (re.compile(p).findall for p in vocabulary["patterns"])
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.cut = re.compile(f"({vocabulary['added']})").split if vocabulary["added"] else None
         self.known: dict[str, str] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -346,7 +357,7 @@ class Encoder:
         self.learn(list(new))
         known = self.known
         for parts in pieces:
-            out.append(",".join([s for k, some in enumerate(parts) if some for s in ([str(self.special[some])] if k % 2 else [known[p] for p in some])]))
+            out.append(",".join([s for k, some in enumerate(parts) if some for s in ([str(self.special[some] if some in self.special else self.special[some.strip()])] if k % 2 else [known[p] for p in some])]))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -354,28 +365,51 @@ class Encoder:
         return b"".join([self.token[i] for i in ids]).decode("utf-8", "replace")
 
 
-def prepare(spark: SparkSession, vocabulary_path: str):
-    """Compile the lexicon on the driver, add its file to SparkFiles and broadcast the vocabulary. Both are bounded by the vocabulary file."""
+def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[str]:
+    """At most ``most`` words, cut at white space, that occur often in all documents: all that occur 2^k times, for the least such k."""
+    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter((F.col("word") != "") & (F.octet_length("word") <= LONGEST))
+    counted = materialize(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"), "bpe-words")
+    bits = F.length(F.bin("n"))
+    least, taken = 64, 0
+    for r in sorted(counted.groupBy(bits.alias("bits")).agg(F.count("*").alias("words")).collect(), reverse=True):  # a row per power of two
+        if (taken := taken + r["words"]) > most:
+            break
+        least = r["bits"]
+    return [r["word"] for r in counted.filter(bits >= least).select("word").collect()]  # `most` words of LONGEST bytes at most
+
+
+def prepare(spark: SparkSession, vocabulary_path: str, words: list[str] = ()):
+    """Compile the lexicon on the driver, add its file to SparkFiles and broadcast the vocabulary.
+
+    Both are bounded by the vocabulary file and the number of frequent words.
+    """
     v = Vocabulary(vocabulary_path)
-    transducer = Transducer.build(v.lexicon())
-    digest = hashlib.sha256(open(vocabulary_path, "rb").read()).hexdigest()[:16]
-    name = f"tersa-lexicon-{digest}-{len(transducer.keys)}.bin"
+    narrow, wide = pieces_pattern(0x10000), pieces_pattern(0x110000)
+    find, beyond = (re.compile(narrow).findall, re.compile(wide).findall), re.compile("[\U00010000-\U0010ffff]").search
+    pieces = {p for w in words for p in find[bool(beyond(w))](f" {w}")}
+    transducer = Transducer.build(v.lexicon(pieces))
+    # a name per content, so that a worker that has the file never gets another under its name
+    data = transducer.packed()
+    name = f"tersa-lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     if name not in getattr(spark, "_tersa_lexicons", set()):
-        path = os.path.join(tempfile.mkdtemp(prefix="tersa-lexicon-"), name)  # the driver's copy, from which SparkFiles serves it
-        transducer.save(path)
-        spark.sparkContext.addFile(path)
+        uri = f"{shared_dir(spark)}/{name}"
+        system, path = place(uri)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path, compression=None) as f:
+            f.write(data)
+        spark.sparkContext.addFile(uri)
         spark._tersa_lexicons = getattr(spark, "_tersa_lexicons", set()) | {name}
-    shared = spark.sparkContext.broadcast({"patterns": [pieces_pattern(0x10000), pieces_pattern(0x110000)], "singles": v.singles, "pairs": v.pairs, "special": v.special, "bytes": v.bytes})
+    shared = spark.sparkContext.broadcast({"patterns": [narrow, wide], "singles": v.singles, "pairs": v.pairs, "special": v.special, "added": v.added_pattern(), "bytes": v.bytes})
     return name, shared
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, an array, if asked for): a row per row of docs.
 
-    Null and empty texts have no ids and decode to the empty text. Special tokens' strings in a text become those
+    Null and empty texts have no ids and decode to the empty text; an empty table gives no rows. Added tokens' strings in a text become those
     tokens. Texts are encoded whole, of any length. Repeated rows are encoded alike. Other columns are ignored.
     """
-    name, shared = prepare(docs.sparkSession, vocabulary_path)
+    name, shared = prepare(docs.sparkSession, vocabulary_path, frequent_words(docs))
 
     def make():
         encoder = Encoder(Transducer.map(SparkFiles.get(name)), shared.value)
