@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from tersa.llm.common import crc_fold, map_columns, materialize
 
-TRAIN_TOXIC, TRAIN_CLEAN, CANDIDATES = 2000, 4000, 20_000
+TRAIN_TOXIC, TRAIN_CLEAN, LONGEST = 2000, 4000, 64
 MIN_STEM, MAX_STEM, FUZZY_LEAST, FEW = 4, 10, 5, 3
 PURITY, COVER, THRESHOLD = 0.9, 0.9, 0.7
 WORD = re.compile(r"[^\W_]+")
-#: Window before a match, in characters, in which a verb of reporting makes it quotation (fixed words).
+#: Window before a match, in characters, in which a word of reporting makes it quotation; the words, unless others are given.
 BEFORE = 60
-REPORTS = re.compile(r"\b(said|says|quote|quoted|wrote|called|citation|cited|reported|sagte|schrieb|zitat|dit|écrit|dijo|escribió|cita)\b")
+REPORTS = ("said", "says", "quote", "quoted", "wrote", "called", "citation", "cited", "reported", "sagte", "schrieb", "zitat", "dit", "écrit", "dijo", "escribió", "cita")
 QUOTES = re.compile("[\"“”„«»]")
 #: With wide matches: words with symbols inside; least letters for an error. Short entries that are misspelt weigh less.
 MASKED = re.compile(r"[^\W_]+(?:[*@$!#+_.-]{1,3}[^\W_]+)+")
@@ -132,9 +132,10 @@ class Lexicon:
 class _Weights(dict):
     """Word -> match; forgets all when full."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, reports: tuple[str, ...] = REPORTS):
         super().__init__()
         self.lexicon = lexicon
+        self.reports = re.compile(rf"\b(?:{'|'.join(map(re.escape, reports))})\b" if reports else r"(?!)")
 
     def __missing__(self, word: str):
         if len(self) > 200_000:
@@ -162,7 +163,7 @@ def features(text: str | None, weights: _Weights) -> list[float]:
             n += 1
             quotes += len(QUOTES.findall(low, at, m.start()))
             at = m.start()
-            quoted = quotes % 2 == 1 or REPORTS.search(low, max(0, m.start() - BEFORE), m.start()) is not None
+            quoted = quotes % 2 == 1 or weights.reports.search(low, max(0, m.start() - BEFORE), m.start()) is not None
             kind = 2 * quoted + weights[m[0]][1]
             kinds[m[0]] = min(kinds.get(m[0], kind), kind)  # used once is used
     for w, kind in kinds.items():
@@ -199,8 +200,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
 
 
 def terms(word: str) -> list[str]:
-    """The word, marked as whole, and its beginnings."""
-    return [word + "$", *(word[:k] for k in range(MIN_STEM, min(len(word), MAX_STEM) + 1))]
+    """The word, marked as whole unless it has more than LONGEST letters, and its beginnings."""
+    return [*([word + "$"] if len(word) <= LONGEST else []), *(word[:k] for k in range(MIN_STEM, min(len(word), MAX_STEM) + 1))]
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
@@ -210,7 +211,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
         def step(texts, ys):
             count = {0: Counter(), 1: Counter()}
             for text, y in zip(texts, ys):
-                count[y].update({t for w in set(WORD.findall((text or "").lower())) for t in terms(w[:64])})
+                count[y].update({t for w in set(WORD.findall((text or "").lower())) for t in terms(w)})
             every = list(count[0].keys() | count[1].keys())
             return [every, [count[1][t] for t in every], [count[0][t] for t in every]]
 
@@ -221,20 +222,14 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     if not n_toxic or not n_clean:
         return []
     counted = map_columns(sample.select("text", "y"), make, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = (F.col("toxic") / n_toxic) / (F.col("toxic") / n_toxic + F.col("clean") / n_clean) >= PURITY
     counted = materialize(counted, "toxicity-terms")
-    tried = counted.count()
-    found = counted.filter(pure & (F.col("toxic") >= 3)).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()
     share = n_toxic / (n_toxic + n_clean)
-
-    def surprise(toxic: int, clean: int) -> float:
-        """Log likelihood ratio of the term's share of toxic documents against the sample's."""
-        n = toxic + clean
-        return toxic * math.log(toxic / n / share) + (clean * math.log(clean / n / (1 - share)) if clean else 0.0)
-
-    # by chance one term or so of those tried is as surprising
-    enough = math.log(max(2, tried))
-    good = {r["term"]: r["toxic"] for r in found if surprise(r["toxic"], r["clean"]) >= enough}
+    t, c = F.col("toxic"), F.col("clean")
+    pure = (t / n_toxic) / (t / n_toxic + c / n_clean) >= PURITY
+    # log likelihood ratio of the term's share of toxic documents against the sample's; by chance one term or so of those tried is as surprising
+    surprise = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0)
+    found = counted.filter((t >= 3) & pure & (surprise >= math.log(max(2, counted.count())))).collect()  # bounded by the sample
+    good = {r["term"]: r["toxic"] for r in found}
     clean = {r["term"]: r["clean"] for r in found}
     children: dict[str, list[str]] = {}
     for t in good:
@@ -261,11 +256,11 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
 
 
 class Model:
-    def __init__(self, entries: list[tuple[str, bool, float]], coefficients: np.ndarray):
-        self.entries, self.coefficients = entries, coefficients
+    def __init__(self, entries: list[tuple[str, bool, float]], coefficients: np.ndarray, reports: tuple[str, ...] = REPORTS):
+        self.entries, self.coefficients, self.reports = entries, coefficients, reports
 
     def scorer(self):
-        weights = _Weights(Lexicon(self.entries, True))
+        weights = _Weights(Lexicon(self.entries, True), self.reports)
         w = self.coefficients
 
         def score(texts: list[str | None]) -> list[float]:
@@ -275,7 +270,7 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, reports: tuple[str, ...] = REPORTS) -> Model:
     """Learn lexicon and coefficients from at most toxic + clean labelled documents outside the held-out fold."""
     sample, counts = labelled_sample(docs, labels, "toxic", {1: toxic, 0: clean})
     sample = materialize(sample, "toxicity-sample")
@@ -283,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     shared = docs.sparkSession.sparkContext.broadcast(entries)
 
     def make():
-        weights = _Weights(Lexicon(shared.value, True))
+        weights = _Weights(Lexicon(shared.value, True), reports)
 
         def step(texts, ys):
             return [[features(t, weights) for t in texts], ys]
@@ -293,13 +288,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     rows = map_columns(sample.select("text", "y"), make, "x array<double>, y int").collect()  # bounded: a few numbers for each sampled document
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
-        return Model(entries, np.array([0.0] * (len(KINDS) + 1) + [-3.0]))
+        return Model(entries, np.array([0.0] * (len(KINDS) + 1) + [-3.0]), reports)
     w = fit_logistic(x, y)
     w[:-1] = np.maximum(w[:-1], 0)  # no match may speak for a text
     w[2:4] = np.minimum(w[2:4], w[0:2] / 2)  # a quotation weighs half of use at most
     taken = Counter(y.astype(int).tolist())
     w[-1] += math.log((counts[1] / counts[0]) / (taken[1] / taken[0]))
-    return Model(entries, w)
+    return Model(entries, w, reports)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
