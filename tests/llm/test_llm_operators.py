@@ -100,6 +100,28 @@ def test_near_dedup(docs, rows):
             assert r["n_shingles"] in map(len, sets[r["doc_id"]])
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = words(50, 1), words(50, 2), words(50, 3)
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, ""), (9, None), (1, c), (3, c + " more"), (3, c + " more"), (20, words(50, 4)), (20, words(50, 5)), (21, "")]
+    out = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(3, 1), (5, 1), (9, 1), (1, 1), (20, 20), (21, 21)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.keep_one(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 20, 21]
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from tersa.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 8)
+    left = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(2000)] + [(None, -k) for k in range(1, 900)], "key long, v long")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (7, "d"), (9, "e"), (None, "n")], "key long, name string")
+    for how in ("inner", "left"):
+        got = common.salted_join(left, right, "key", F.col("v"), how).select("key", "v", "name").collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, left.join(right, "key", how).select("key", "v", "name").collect()))
+
+
 def test_near_dedup_of_a_large_group(spark):
     """Copies with more and fewer edits: some link to the base only, some to nothing, and none is lost."""
     r, base = random.Random(5), words(120, 9).split()
@@ -197,7 +219,7 @@ def test_mixing_hits_its_targets(spark):
 
 def test_salted_ranks_draw_alike(spark):
     df = table(spark, ["w " * 5] * 500)
-    a = mixing.copies_plan(df, run=20).groupBy("source").agg(F.sum("copies").alias("n"), F.first("target").alias("t"), F.first("source_size").alias("s")).collect()
+    a = mixing.copies_plan(df, salts=20).groupBy("source").agg(F.sum("copies").alias("n"), F.first("target").alias("t"), F.first("source_size").alias("s")).collect()
     assert all(abs(r["n"] * 5 - r["t"]) <= 10 for r in a)
 
 
@@ -517,15 +539,36 @@ def test_warc(pages):
 def test_warc_look_ups(spark, pages):
     from tersa.llm.warc import Index, archive, build_index
 
-    lines, directory = archive(spark, pages)
-    index = Index(build_index(lines, directory.first()["file"].rpartition("/")[0] + "-small", block=3))
-    for url, ids in (("http://h0.example.com/p/0?q=0", [0]), ("https://a.b:8080/x", [103]), ("http://nowhere.example.com/", [])):
-        assert [int(c["fields"]["X-Page-ID"]) for c in index.captures(url)] == ids
-    back = {int(c["fields"]["X-Page-ID"]): c["payload"] for c in index.captures("https://a.b:8080/X")}
-    assert back == {103: b"<p>\r\n\r\n</p>"}
+    lines, root = archive(spark, pages)
+    for block, files in ((1000, 1), (3, 1), (2, 4)):
+        index = Index(build_index(lines, root.first()["file"].rpartition("/")[0] + f"-{block}-{files}", block, files).collect())
+        for url, ids in (("http://h0.example.com/p/0?q=0", [0]), ("https://a.b:8080/x", [103]), ("http://nowhere.example.com/", []), ("x", [102]), ("zzz", [])):
+            assert [c["page_id"] for c in index.captures(url)] == ids
+        assert index.captures("https://a.b:8080/X")[0]["payload"] == b"<p>\r\n\r\n</p>"
     assert warc.surt("https://WWW.Example.com/A?b=C#d") == "com,example)/a?b=c"
 
 
+def test_warc_of_one_url(spark):
+    """A key of very many pages runs over blocks and files."""
+    rows = [(k, "http://a.b/c", f"<p>{k}</p>") for k in range(500)] + [(None, "http://a.b/c", "n"), (7, "http://a.b/c", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    lines, root = warc.archive(spark, pages)
+    root = warc.build_index(lines, root.first()["file"].rpartition("/")[0] + "-many", 16, 5)
+    assert 1 < root.count() <= 5
+    back = warc.look_up(lines.select("key", "page_id").distinct(), root, True).collect()
+    assert Counter((r["page_id"], r["payload"].decode()) for r in back) == Counter((r[0], r[2]) for r in rows)
+    assert len(warc.Index(root.collect()).captures("http://a.b/c")) == len(rows)
+
+
+def test_operators_leave_the_session_alone(spark, docs, pages):
+    before = dict(spark.conf.getAll) if not callable(spark.conf.getAll) else dict(spark.conf.getAll())
+    warc.round_trip(pages).count()
+    near_dedup.deduplicate(docs).count()
+    quality_rules.keep_good(docs).count()
+    after = dict(spark.conf.getAll) if not callable(spark.conf.getAll) else dict(spark.conf.getAll())
+    assert before == after
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
@@ -546,3 +589,127 @@ def test_pipeline(spark, sf_dir):
     coded = p.STAGES[4][1](spark, mixed, sf_dir)
     assert coded.count() == mixed.count()
     assert p.run(spark, sf_dir).count() == coded.count()
+
+
+def test_frequent_words_are_compiled(spark):
+    texts = ["zorbagfleeb, zorbagfleeb! one"] * 40 + ["zorbagfleeb rare" + str(k) for k in range(70)] + [None, ""]
+    assert set(bpe.frequent_words(table(spark, texts))) == {"zorbagfleeb", "zorbagfleeb,", "zorbagfleeb!", "one"}
+    assert bpe.frequent_words(table(spark, texts), 2) == ["zorbagfleeb"]
+    v = bpe.Vocabulary(vocabulary_path())
+    word = " zorbagfleeb".encode()
+    t = bpe.Transducer.build(v.lexicon({" zorbagfleeb"}))
+    rank = t.ranks([word])[0]
+    ids = t.ids[t.starts[rank] : t.starts[rank + 1]].tolist()
+    assert len(ids) > 1 and b"".join(v.bytes[i] for i in ids) == word
+
+
+def test_added_tokens_keep_their_flags():
+    v = bpe.Vocabulary.__new__(bpe.Vocabulary)
+    v.added = [{"content": "<m>", "id": 1, "lstrip": True}, {"content": "<m2>", "id": 2, "rstrip": True}, {"content": "cat", "id": 3, "single_word": True}]
+    cut = re.compile(f"({v.added_pattern()})").split
+    assert cut("a  <m> b") == ["a", "  <m>", " b"] and cut("a <m2>  b") == ["a ", "<m2>  ", "b"] and cut("cats cat") == ["cats ", "cat", ""]
+
+
+def test_wide_lexicon_against_brute_force():
+    """All words within one edit, or one swap of neighbours, of a whole entry; of a stem's entry, those that begin so."""
+
+    def near(a, b):
+        rows = [[k + j if not k or not j else 0 for j in range(len(b) + 1)] for k in range(len(a) + 1)]
+        for k in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                rows[k][j] = min(rows[k - 1][j] + 1, rows[k][j - 1] + 1, rows[k - 1][j - 1] + (a[k - 1] != b[j - 1]))
+                if k > 1 and j > 1 and a[k - 1] == b[j - 2] and a[k - 2] == b[j - 1]:
+                    rows[k][j] = min(rows[k][j], rows[k - 2][j - 2] + 1)
+        return rows[-1][-1]
+
+    r = random.Random(12)
+    made = lambda n, abc="abcd": "".join(r.choice(abc) for _ in range(n))
+    for _ in range(20):
+        entries = {made(r.randint(3, 7)): (bool(r.randint(0, 1)), 1.0 + r.randint(0, 3)) for _ in range(6)}
+        lex = toxicity.Lexicon([(t, w, x) for t, (w, x) in entries.items()], True)
+        asked = {made(r.randint(0, 9), "abcde") for _ in range(300)} | set(entries) | {t + made(2) for t in entries}
+        for word in asked:
+            least = {t: near(word, t) if whole else min(near(word[:k], t) for k in range(len(word) + 1)) for t, (whole, _) in entries.items()}
+            exact = [entries[t][1] for t, d in least.items() if d == 0]
+            fuzzy = [entries[t][1] * (toxicity.SHORT_WEIGHT if len(t) < toxicity.FUZZY_LEAST else 1.0) for t, d in least.items() if d <= 1 and len(t) >= toxicity.WIDE_LEAST]
+            assert lex.match(word) == ((max(exact), False) if exact else (max(fuzzy, default=0.0), True)), (word, entries)
+
+
+def test_reporting_words_are_a_parameter(spark):
+    weights = toxicity._Weights(toxicity.Lexicon([("idiot", True, 3.0)], True), ("claimed",))
+    assert toxicity.features("he claimed idiot", weights)[2] > 0 == toxicity.features("he said idiot", weights)[2]
+    assert toxicity.features("he claimed idiot", toxicity._Weights(weights.lexicon, ()))[0] > 0
+
+
+def test_quality_classifier_against_brute_force(spark):
+    """Site rates and scores from the documents' own evidence, by loops."""
+    r = random.Random(13)
+    rows = [(k, words(r.randint(0, 60), k) + " #" * r.randint(0, 9), r.choice(["en", "de", None]), r.choice(["a", "b", "c", None])) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = quality_classifier.classify(d, spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(200)], "doc_id long, quality int")).collect()
+    own = {x["doc_id"]: x["doc_score"] for x in out}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for k, _, lang, source in rows:
+        paths[source, lang].append(own[k])
+        hosts[source].append(own[k])
+    mean = lambda v: sum(v) / len(v)
+    weight = lambda m, v: 1e4 if v <= 1e-12 else min(max(m * (1 - m) / v - 1, 1.0), 1e4)
+    prior = mean(list(own.values()))
+    rates = [mean(v) for v in hosts.values()]
+    w = weight(prior, mean([(x - mean(rates)) ** 2 for x in rates]))
+    host_rate = {h: (sum(v) + w * prior) / (len(v) + w) for h, v in hosts.items()}
+    pw = weight(prior, mean([(mean(v) - host_rate[h]) ** 2 for (h, _), v in paths.items()]))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for x in out:
+        _, _, lang, source = rows[x["doc_id"]]
+        v = paths[source, lang]
+        rate = (sum(v) - own[x["doc_id"]] + pw * host_rate[source]) / (len(v) - 1 + pw)
+        score = 1 / (1 + math.exp(-(logit(own[x["doc_id"]]) + logit(rate) - logit(prior))))
+        assert abs(x["path_rate"] - rate) < 1e-9 and abs(x["score"] - score) < 1e-9 and abs(x["host_rate"] - host_rate[source]) < 1e-9
+
+
+def test_formats_in_documents(spark):
+    """Bare credentials of labelled formats are found; near misses in length, layout or alphabet and ordinary tokens are not."""
+    r = random.Random(14)
+    made = lambda n, abc: "".join(r.choice(abc) for _ in range(n))
+    mixed, upper = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEF"
+    formats = {
+        "prefix": lambda n=36: "ghx_" + made(n, mixed),
+        "layout": lambda n=8: f"{made(8, upper)}-{made(n, upper)}-{made(12, upper)}",
+        "upper": lambda n=40: made(n, upper),
+    }
+    plain = lambda: "".join(r.choice(("ung", "heit", "lich", "ver", "sch", "be")) for _ in range(6))
+    texts = [f"use {plain()} with token = {formats[k]()} or {plain()}" for k in formats for _ in range(80)]
+    n = len(texts)
+    bare = [f"a {plain()} and {formats[k]()} there" for k in formats for _ in range(40)]
+    odd = [f"a {plain()} and {formats[k](m)} there" for k, m in (("prefix", 35), ("prefix", 37), ("layout", 7), ("layout", 9), ("upper", 39), ("upper", 41)) for _ in range(20)]
+    odd += [f"a {formats['prefix']().replace('ghx_', 'ghx-')} there" for _ in range(20)] + [f"a {made(40, mixed)} there" for _ in range(20)]
+    ordinary = [f"only {plain()} and www.example.com/{made(7, 'abcdefgh')}/{made(5, 'abcdefgh')} on 2024-01-0{r.randint(1, 9)}T00:00:00.000" for _ in range(300)]
+    out = secret_scan.scan(table(spark, texts + bare + odd + ordinary)).collect()
+    found = {x["doc_id"] for x in out if "grammar" in x["spans"]}
+    assert len(found & set(range(n, n + 120))) >= 115
+    assert len(found & set(range(n + 120, n + 120 + len(odd)))) <= 2
+    assert not found & set(range(n + 120 + len(odd), len(texts + bare + odd + ordinary)))
+
+
+def test_long_texts_go_in_small_steps():
+    import pyarrow as pa
+
+    from tersa.llm.common import slices
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 50 + ["y" * 100_000] + ["z"] * 500})
+    parts = list(slices(batch, 100, 50_000))
+    assert sum(p.num_rows for p in parts) == 551 and max(p.num_rows for p in parts) <= 100
+    assert all(p.num_rows == 1 or p.nbytes <= 50_000 for p in parts)
+    assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from tersa import storage
+
+    with storage.scratch():
+        t = storage.materialize(spark.range(5), "scratch")
+        assert t.count() == 5 and os.path.isdir(t._tersa_path.removeprefix("file:"))
+    assert not os.path.exists(t._tersa_path.removeprefix("file:"))
