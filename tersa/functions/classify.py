@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +18,12 @@ LOG_STAMP = r"^\s*\[?(?:\d{4}[-/]\d{2}[-/]\d{2}[T ])?\d{1,2}:\d{2}:\d{2}"
 MD_FENCE, MD_LIST, MD_LINK = r"(?s)```.*```", r"(?:^|\n)(?:-|\*|\d+\.)\s+\S", r"\[[^\]]+\]\([^)]+\)"
 YAML_MAPPING = r"""^\s*(?:-\s+)?(?:[\w.\-/]+|"[^"]+"|'[^']+')\s*:(?:\s+\S.*|\s*)\z"""
 YAML_MARKER, YAML_NEUTRAL, YAML_BLOCK = r"^(?:---|\.\.\.)\s*\z", r"^\s*(?:#|-(?:\s+\S.*)?\z)", r":\s*[|>][-+]?\d*\s*\z"
-PY_STRONG = (
-    r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+[A-Za-z_]\w*[ \t]*[(:]"
-    r"|^[ \t]*(?:import[ \t]+[A-Za-z_][\w.]*(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[A-Za-z_][\w.]*(?:[ \t]+as[ \t]+\w+)?)*[ \t]*\z|from[ \t]+[.A-Za-z_][\w.]*[ \t]+import[ \t]+\S)"
-    r"|^[ \t]*@[A-Za-z_][\w.]*(?:\([^)]*\))?[ \t]*\z"
+PY_DEFINITION = r"^[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+[A-Za-z_]\w*[ \t]*[(:]"
+PY_IMPORT = (
+    r"^[ \t]*(?:import[ \t]+[A-Za-z_][\w.]*(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[A-Za-z_][\w.]*(?:[ \t]+as[ \t]+\w+)?)*[ \t]*\z|from[ \t]+[.A-Za-z_][\w.]*[ \t]+import[ \t]+\S)"
 )
+PY_DECORATOR = r"^[ \t]*@[A-Za-z_][\w.]*(?:\([^)]*\))?[ \t]*\z"
+PY_STRONG = "|".join((PY_DEFINITION, PY_IMPORT, PY_DECORATOR))
 PY_WEAK = r"^[ \t]*(?:if|elif|else|for|while|try|except|finally|with|match|case)\b[^:]*:[ \t]*(?:#.*)?\z|^[ \t]*(?:return|raise|pass|yield|assert|global|nonlocal|del|continue|break)\b"
 PY_NOT = r"[;{][ \t]*\z|=>|\bfunction\b[ \t]*\w*[ \t]*\(|\b(?:const|let|var)[ \t]+\w+[ \t]*[:=]"
 
@@ -28,10 +32,30 @@ def lines_with_text(text: Column) -> Column:
     return F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"\S"))
 
 
+@F.pandas_udf("boolean")
+def parses_as_json(texts: pd.Series) -> pd.Series:
+    """Whether a text is one JSON value and nothing else; NaN and Infinity are none. Null for null."""
+
+    def refuse(name: str):
+        raise ValueError(f"{name} is no JSON")
+
+    def parses(text: str) -> bool:
+        try:
+            json.loads(text, parse_constant=refuse)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    return pd.Series([None if t is None else parses(t) for t in texts], dtype="object")
+
+
 def looks_like_json(text: Column) -> Column:
-    """An object or array that parses whole. The built-in parser forgives text after the value, so what it kept must end as the text does."""
+    """An object or array that parses whole. Only texts that begin and end like one reach the parser, in Python behind Arrow.
+
+    The built-in parser forgives text after the value, refuses repeated keys, and so cannot tell.
+    """
     probe = text.rlike(r"^[\[{]") & text.rlike(r"[\]}]\z")
-    return F.when(probe, F.try_parse_json(text).isNotNull()).otherwise(F.lit(False))
+    return F.coalesce(parses_as_json(F.when(probe, text)), F.lit(False))
 
 
 def looks_like_html(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ PLAIN_LANGUAGES = ("json", "yaml", "html", "markdown", "logs", "text")
 CODE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "cjs", "mjs", "py", "go", "rs", "java", "c", "cpp", "h", "hpp", "sh", "ps1", "css", "scss", "sql")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_bounds(pattern: str) -> str:
     r"""The pattern with \b between ASCII word characters and others only, as patterns here mean it; Java's own looks at all letters."""
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")

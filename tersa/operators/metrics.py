@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("prompt", "file", "diff", "conversation", "note")
@@ -73,15 +73,28 @@ def bundle_drift(pairs: DataFrame) -> DataFrame:
     return out.withColumn("drift", d).withColumn("refused", F.col("drift") > DRIFT_LIMIT).select("bundle_id", "symbol_retention", "marker_retention", "drift", "refused")
 
 
-def p95(values: Column) -> Column:
-    """Aggregate: the value at floor(0.95 n) of the sorted ones, the last at most. Exact, so a group's values must fit into a row."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.least(F.size(s) - 1, F.floor(F.size(s) * F.lit(0.95)).cast("int")) + 1).cast("int"))
+def p95(runs: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """groups (null in roll-ups), level and the value at floor(0.95 n) of the sorted ones, the last at most; exact.
+
+    Values are counted by group first; a window sums up the counts, so a group costs as many rows as it has different values.
+    """
+    per = runs.groupBy(*groups, value).agg(F.count("*").alias("n"))
+    out = None
+    for k in range(len(groups) + 1):
+        keys = groups[:k]
+        counted = per.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*keys).orderBy(value)
+        total, upto = F.sum("n").over(Window.partitionBy(*keys)), F.sum("n").over(w)
+        at = F.least(total - 1, F.floor(total * F.lit(0.95)))
+        one = counted.withColumn("hit", (upto > at) & (upto - F.col("n") <= at)).filter("hit")
+        one = one.select(*keys, *(F.lit(None).cast(runs.schema[g].dataType).alias(g) for g in groups[k:]), F.lit((1 << (len(groups) - k)) - 1).cast("long").alias("level"), F.col(value).alias(f"{value}_p95"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def bench_summary(runs: DataFrame, *groups: str) -> DataFrame:
     """Means of reduction, fallback, latency, syntax and pass rates, the sum of issues and p95 of the latency, by groups and over all (rollup)."""
-    return runs.rollup(*groups).agg(
+    means = runs.rollup(*groups).agg(
         F.count("*").alias("n"),
         F.avg("reduction").alias("reduction"),
         F.avg(F.col("fallback").cast("double")).alias("fallback_rate"),
@@ -89,8 +102,13 @@ def bench_summary(runs: DataFrame, *groups: str) -> DataFrame:
         F.avg(F.col("syntax_ok").cast("double")).alias("syntax_rate"),
         F.avg(F.col("passed").cast("double")).alias("pass_rate"),
         F.sum("issues").alias("issues"),
-        p95(F.col("latency")).alias("latency_p95"),
+        F.grouping_id().cast("long").alias("level"),
     )
+    late = p95(runs, "latency", list(groups)).select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("level").alias("_level"), "latency_p95")
+    same = F.col("level") == F.col("_level")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return means.join(late, same, "left").drop("level", "_level", *(f"_{g}" for g in groups))
 
 
 def check_coverage(items: DataFrame) -> DataFrame:

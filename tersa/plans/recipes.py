@@ -35,10 +35,20 @@ SELECT session_id, turn, CAST(row_number() OVER (PARTITION BY session_id, turn O
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes in fewer partitions than there are cores, as a file of one row group does; larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def run(spark: SparkSession, sql: str, sf_dir: str) -> DataFrame:
     """A recipe over the tables of a folder."""
     view = "tersa_documents_" + sha256(sf_dir.encode()).hexdigest()[:12]
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView(view)
+    documents(spark, sf_dir).createOrReplaceTempView(view)
     return spark.sql(sql.replace("{documents}", view))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tersa.functions import classify, directives, symbols, text, tokens
-from tersa.plans.recipes import items, with_items
+from tersa.plans.recipes import documents, items, with_items
 from tersa.queries import query
 
 CLASSES = """length(regexp_replace({c}, '[^ \\t\\n\\r]', '', 'g')) AS space, length(regexp_replace({c}, '[^!-/:-@\\[-`{-~]', '', 'g')) AS punct,
@@ -21,7 +21,7 @@ ESTIMATE = "CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(1, ceil((n - space - punct
 
 @query(f"SELECT doc_id, {ESTIMATE} AS n_tokens FROM (SELECT doc_id, {classes('text')} FROM documents)")
 def p1_token_estimate(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens.token_estimate(F.col("text")).alias("n_tokens"))
+    return documents(spark, sf_dir).select("doc_id", tokens.token_estimate(F.col("text")).alias("n_tokens"))
 
 
 @query(with_items(f"SELECT bundle_id, {ESTIMATE} AS n_tokens FROM (SELECT bundle_id, sum(space) + count(*) - 1 AS space, sum(punct) AS punct, sum(wide) AS wide, sum(n) + count(*) - 1 AS n FROM (SELECT bundle_id, {classes('content')} FROM items) GROUP BY bundle_id)"))
@@ -52,13 +52,13 @@ LOGS = f"(len({LINES}) > 0 AND 2 * len(list_filter({LINES}, lambda x: regexp_mat
 @query(
     with_items(
         rf"""SELECT src, id, CASE WHEN left(b, 1) IN ('{{', '[') AND json_valid(b) THEN 'json' WHEN {HTML} THEN 'html' WHEN {LOGS} THEN 'logs' WHEN {MD} THEN 'markdown' WHEN b <> '' THEN 'text' ELSE 'unknown' END AS content_type
- FROM (SELECT src, id, regexp_replace(c, '^\s+|\s+$', '', 'g') AS b FROM (SELECT 'item' AS src, ord AS id, content AS c FROM items WHERE content_type <> 'code' UNION ALL SELECT 'page', page_id, html FROM pages UNION ALL SELECT 'event', event_id, props FROM events))"""
+ FROM (SELECT src, id, regexp_replace(c, '^\s+|\s+$', '', 'g') AS b FROM (SELECT 'item' AS src, ord AS id, content AS c FROM items WHERE content_type <> 'code' UNION ALL SELECT 'page', page_id, html FROM pages UNION ALL SELECT 'event', event_id, CASE event_id % 4 WHEN 1 THEN props || chr(10) || props WHEN 2 THEN '[' || event_id || '] ]' ELSE props END FROM events))"""
     )
 )
 def p7_content_type(spark, sf_dir):
     i = items(spark, sf_dir).filter("content_type <> 'code'").select(F.lit("item").alias("src"), F.col("ord").alias("id"), F.col("content").alias("c"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("c"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("event").alias("src"), F.col("event_id").alias("id"), F.col("props").alias("c"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("event").alias("src"), F.col("event_id").alias("id"), F.expr("CASE event_id % 4 WHEN 1 THEN concat(props, chr(10), props) WHEN 2 THEN concat('[', event_id, '] ]') ELSE props END").alias("c"))
     return i.unionByName(pages).unionByName(events).select("src", "id", classify.content_type(F.col("c")).alias("content_type"))
 
 

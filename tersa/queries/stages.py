@@ -54,11 +54,16 @@ def v1_v2_v4_all_balance(spark, sf_dir):
     return i.select("ord", "validator", (F.size(scanners.balance_issues("content", "validator")) == 0).alias("valid"))
 
 
-@query("SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN left(props, length(props) - 1) ELSE props END) AS valid FROM events")
+JSONISH = "CASE event_id % 6 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN concat(props, chr(10), props) WHEN 2 THEN concat('[', props, '] x]') WHEN 3 THEN concat('[', props, ', null]') WHEN 4 THEN concat(' ', props) ELSE props END"
+
+
+@query(f"SELECT event_id, left(b, 1) IN ('{{{{', '[') AND json_valid(b) AS is_json, json_valid(b) AS valid FROM (SELECT event_id, {JSONISH} AS b FROM events)".replace("{{", "{"))
 def v3_p8_json(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    body = F.expr("CASE WHEN event_id % 3 = 0 THEN left(props, length(props) - 1) ELSE props END")
-    return e.select("event_id", (F.size(scanners.balance_issues(body, F.lit("json"))) == 0).alias("valid"))
+    """The probe and the check over whole values, cut ones, lines of values, and text after a value."""
+    from tersa.functions.classify import looks_like_json
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(JSONISH).alias("b"))
+    return e.select("event_id", looks_like_json(F.col("b")).alias("is_json"), (F.size(scanners.balance_issues("b", F.lit("json"))) == 0).alias("valid"))
 
 
 @query(with_items("SELECT ord, true AS has_region, 6 + ord % 11 >= 6 AS long_enough FROM items WHERE content_type = 'code'"))
