@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tersa.functions.text import CODE_EXTENSIONS, ascii_bounds, extension, strip
 
@@ -32,7 +33,7 @@ def lines_with_text(text: Column) -> Column:
     return F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"\S"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def parses_as_json(texts: pd.Series) -> pd.Series:
     """Whether a text is one JSON value and nothing else; NaN and Infinity are none. Null for null."""
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BRAND = "tersa"
 MARKER = r"\[" + BRAND + r": (\d+) ([a-z-]+) lines? elided, (\d+) bytes, sha256:([0-9a-f]{12,64})\]"
 SESSION_MARKER = r"\[" + BRAND + r" Elided: ref=([0-9a-f]{12}) bytes=(\d+) kind=([a-z_]+)\]"
+#: The older form of a reference, which is still read: a hash, or its beginning, on its own.
+BLOCK_MARKER = r"<BLOCK_HASH:([0-9a-f]{12,64})>"
 JSON_KEY = "__" + BRAND + "_block__"
 
 #: Spellings of a language and its canonical name; kinds of content that are not code.
@@ -139,12 +141,18 @@ def unwrap_json_marker(text: Column) -> Column:
 
 
 def has_marker(text: Column) -> Column:
-    return text.contains(f"[{BRAND}") & (text.rlike(MARKER) | text.rlike(SESSION_MARKER))
+    return (text.contains(f"[{BRAND}") & (text.rlike(MARKER) | text.rlike(SESSION_MARKER))) | text.rlike(BLOCK_MARKER)
 
 
 def marker_refs(text: Column) -> Column:
-    """12-digit references of all markers in a text, in order of kinds."""
-    return F.concat(F.regexp_extract_all(text, F.lit(MARKER), F.lit(4)), F.regexp_extract_all(text, F.lit(SESSION_MARKER), F.lit(1)))
+    """References of all markers in a text, in order of kinds."""
+    every = (F.regexp_extract_all(text, F.lit(p), F.lit(group)) for p, group in ((MARKER, 4), (SESSION_MARKER, 1), (BLOCK_MARKER, 1)))
+    return F.concat(*every)
+
+
+def marker_texts(text: Column) -> Column:
+    """All markers in a text as they stand there, in order of kinds."""
+    return F.concat(*(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in (MARKER, SESSION_MARKER, BLOCK_MARKER)))
 
 
 def word_set(text: Column) -> Column:

@@ -10,19 +10,28 @@ from tersa.functions import text as T
 from tersa.functions.tokens import class_counts, token_estimate, tokens_of_counts
 
 SHORTEST, REGION_LEAST = 40, 104
+#: Content that came as blocks: the JSON text of an array of objects.
+STRUCTURED = r"^\s*\[\s*\{"
 
 
 def eligibility(items: DataFrame, preserve: tuple[str, ...] = (), shortest: int = SHORTEST) -> DataFrame:
-    """items with marker, preserved, is_system, too_short, saves, reducible and eligible, all without a shuffle."""
+    """items with marker, preserved, is_system, already, structured, too_short, saves, reducible and eligible, all without a shuffle.
+
+    already: the item holds a marker from before. structured: its content came as an array of blocks, as the column of that
+    name says where items have one, else the content itself.
+    """
     kept = F.coalesce(F.col("kind").isin(*preserve), F.lit(False)) if preserve else F.lit(False)
+    blocks = F.col("structured") if "structured" in items.columns else F.col("content").rlike(STRUCTURED)
     return (
         items.withColumn("marker", T.elision_marker(F.col("content"), T.noun(F.col("content_type"))))
         .withColumn("preserved", kept)
         .withColumn("is_system", F.coalesce(F.col("role") == "system", F.lit(False)))
+        .withColumn("already", F.coalesce(T.has_marker(F.col("content")), F.lit(False)))
+        .withColumn("structured", F.coalesce(blocks, F.lit(False)))
         .withColumn("too_short", F.length("content") < shortest)
         .withColumn("saves", F.length("marker") < F.length("content"))
         .withColumn("reducible", F.coalesce(F.col("language").isin("python", "typescript"), F.lit(False)))
-        .withColumn("eligible", ~F.col("preserved") & ~F.col("is_system") & ~F.col("too_short") & F.col("saves"))
+        .withColumn("eligible", ~F.col("preserved") & ~F.col("is_system") & ~F.col("already") & ~F.col("structured") & ~F.col("too_short") & F.col("saves"))
     )
 
 

@@ -83,8 +83,19 @@ def score(distance: Column, state: Column, kind: Column, role: Column, has_const
     return F.least(F.lit(100.0), F.greatest(F.lit(1.0), total))
 
 
-def workspace_status(lines: DataFrame) -> DataFrame:
-    """path, code, state from porcelain lines `XY path` or `XY old -> new`; quotes are dropped, untracked files are dirty too."""
-    parsed = lines.select(F.substring("line", 1, 2).alias("code"), F.substring("line", 4, 1 << 30).alias("rest")).filter("length(rest) > 0")
-    name = F.regexp_replace(F.element_at(F.split("rest", " -> "), -1), '^"|"$', "")
-    return parsed.select(T.normalize_path(name).alias("path"), "code", F.lit("dirty").alias("state"))
+def workspace_status(lines: DataFrame, log: DataFrame | None = None, commits: int = 5) -> DataFrame:
+    """path, code, state, age: dirty files from porcelain lines, then, from the last commits, recent ones.
+
+    lines: `XY path` or `XY old -> new`; quotes are dropped, untracked files are dirty too, a line of two blanks says nothing.
+    log: commit (0 for the last) and path of the files of commits; of those before ``commits`` the first that names a path is
+    its age. A dirty file has no age; one that is dirty and recent is dirty.
+    """
+    parsed = lines.select(F.substring("line", 1, 2).alias("code"), F.substring("line", 4, 1 << 30).alias("rest")).filter("length(rest) > 0 AND code <> '  '")
+    name = F.regexp_replace(F.trim(F.element_at(F.split("rest", "->"), -1)), '^"|"$', "")
+    none = F.lit(None)
+    dirty = parsed.select(T.normalize_path(name).alias("path"), "code", F.lit("dirty").alias("state"), none.cast("long").alias("age"))
+    if log is None:
+        return dirty
+    named = log.filter(F.col("commit") < commits).select(T.normalize_path(F.trim("path")).alias("path"), F.col("commit").cast("long").alias("commit")).filter("path <> ''")
+    recent = named.groupBy("path").agg(F.min("commit").alias("age")).join(dirty.select("path"), "path", "left_anti")
+    return dirty.unionByName(recent.select("path", none.cast("string").alias("code"), F.lit("recent").alias("state"), "age"))

@@ -58,14 +58,27 @@ def missing_refs(rows: DataFrame, blocks_: DataFrame) -> DataFrame:
 
 
 def rehydrate(rows: DataFrame, blocks_: DataFrame, key: list[str]) -> DataFrame:
-    """rows with every marker in content replaced by its block; markers without one stay."""
-    found = F.concat(F.regexp_extract_all("content", F.lit(f"({T.MARKER})"), F.lit(1)), F.regexp_extract_all("content", F.lit(f"({T.SESSION_MARKER})"), F.lit(1)))
-    marks = rows.select(*key, F.explode(F.array_distinct(found)).alias("mark")).withColumn("ref", F.substring(F.element_at(T.marker_refs(F.col("mark")), 1), 1, 12))
-    pairs = marks.join(unambiguous(blocks_), "ref").groupBy(*key).agg(F.collect_list(F.struct("mark", "block")).alias("pairs"))
+    """rows with every marker in content, of all three syntaxes, replaced by its block; markers without one stay.
+
+    A content that is a marker wrapped as JSON becomes the block itself, or stays as it is if there is none.
+    """
+    wrapped = T.unwrap_json_marker(F.col("content"))
+    found = F.when(wrapped.isNotNull(), F.slice(T.marker_texts(wrapped), 1, 1)).otherwise(T.marker_texts(F.col("content")))
+    marks = rows.select(*key, wrapped.isNotNull().alias("whole"), F.explode(F.array_distinct(found)).alias("mark")).withColumn("ref", F.substring(F.element_at(T.marker_refs(F.col("mark")), 1), 1, 12))
+    pairs = marks.join(unambiguous(blocks_), "ref").groupBy(*key).agg(F.bool_or("whole").alias("whole"), F.collect_list(F.struct("mark", "block")).alias("pairs"))
     joined = rows.join(pairs, key, "left")
     # a marker's text is unique to its block, so the order of replacement matters to no one
     restored = F.aggregate(F.coalesce("pairs", F.array().cast("array<struct<mark:string,block:string>>")), F.col("content"), lambda acc, p: F.replace(acc, p["mark"], p["block"]))
-    return joined.withColumn("content", restored).drop("pairs")
+    return joined.withColumn("content", F.when(F.col("whole"), F.col("pairs")[0]["block"]).otherwise(restored)).drop("pairs", "whole")
+
+
+def by_slot(payloads: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
+    """payloads (key, body) with changes, an array of (slot, old, new) in order of slots: the final items back at their places.
+
+    items: key, slot, original_content, content. Only what differs comes back; a payload without changes has an empty array.
+    """
+    changed = items.filter("content <> original_content").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("slot").alias("slot"), F.col("original_content").alias("old"), F.col("content").alias("new")))).alias("changes"))
+    return payloads.join(changed, key, "left").withColumn("changes", F.coalesce("changes", F.array().cast("array<struct<slot:bigint,old:string,new:string>>")))
 
 
 def session_refs(wanted: DataFrame, blocks_: DataFrame, key: list[str], least: int = 6) -> DataFrame:
@@ -80,6 +93,14 @@ def session_refs(wanted: DataFrame, blocks_: DataFrame, key: list[str], least: i
     return one.filter("n = 1").drop("n")
 
 
+def assemble(items: DataFrame, head: int = 80) -> DataFrame:
+    """bundle_id, n_items, bundle_hash, preview: the hash of the items' hashes in order, and the start of their contents joined by newlines."""
+    h = items.select("bundle_id", "ord", T.content_hash(F.col("content")).alias("h"), F.substring("content", 1, head).alias("start"))
+    ordered = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("ord", name))), lambda x: x[name])
+    preview = F.substring(F.array_join(F.slice(ordered("start"), 1, head), "\n"), 1, head)
+    return h.groupBy("bundle_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(ordered("h"), ","), 256).alias("bundle_hash"), preview.alias("preview"))
+
+
 def render(items: DataFrame) -> DataFrame:
     """bundle_id, rendered: a single item as it is, several under labels, in order."""
     listed = items.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("ord", "path", "content"))).alias("l"))

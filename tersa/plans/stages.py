@@ -9,7 +9,7 @@ from tersa.functions import directives as D
 from tersa.functions import text as T
 from tersa.functions.tokens import token_estimate
 from tersa.operators import diffs, graph, lookups, selection
-from tersa.operators.elision import prefix_locked
+from tersa.operators.elision import prefix_locked, token_ceiling
 
 
 def preserve_constraints(items: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def preserve_constraints(items: DataFrame) -> DataFrame:
     return found.withColumn("keywords", D.keywords(F.col("directives"))).withColumn("has_constraint", F.size("directives") > 0)
 
 
-def prune(items: DataFrame, changed: DataFrame, status: DataFrame, ratio: float, horizon: int = 1024, preserve: tuple[str, ...] = ()) -> DataFrame:
-    """items with distance, score, pinned, strategy and selected, under 1 - ratio of each bundle's tokens.
+def prune(items: DataFrame, changed: DataFrame, status: DataFrame, ratio: float, horizon: int = 1024, preserve: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """items with distance, score, pinned, strategy and selected, under 1 - ratio of each bundle's tokens and ``most`` of them.
 
     changed (bundle_id, path) are the sources of distances; status (path, state) adds to scores. Pinned items always stay.
     """
@@ -27,7 +27,7 @@ def prune(items: DataFrame, changed: DataFrame, status: DataFrame, ratio: float,
     locked = prefix_locked(items, horizon, preserve)
     scored = graph.scores(locked, reached, status)
     total = F.sum("tokens").over(Window.partitionBy("bundle_id"))
-    weighed = scored.withColumn("weight", F.col("tokens")).withColumn("value", F.col("score")).withColumn("budget", F.floor(total * F.lit(1.0 - ratio)).cast("long"))
+    weighed = scored.withColumn("weight", F.col("tokens")).withColumn("value", F.col("score")).withColumn("budget", token_ceiling(total, F.lit(most).cast("long"), F.lit(ratio)))
     return selection.select(weighed)
 
 
@@ -55,7 +55,7 @@ def skip_reasons(items: DataFrame) -> DataFrame:
     from tersa.operators.elision import eligibility, has_symbols
 
     e = eligibility(items)
-    structured = F.coalesce(F.col("content").rlike(r"^\s*\[\s*\{"), F.lit(False))
+    structured = F.col("structured")
     return e.groupBy("bundle_id").agg(
         F.count_if(~F.col("saves")).alias("no_savings"),
         F.count_if(structured).alias("structured_content"),

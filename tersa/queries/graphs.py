@@ -22,39 +22,23 @@ def g5_g7_j4_edges(spark, sf_dir):
     return graph.edges(files(spark, sf_dir)).select("src", "dst")
 
 
-WALK = f""", {FILES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), w AS (SELECT path, 0 AS d FROM f WHERE ord % 97 = 0),
- d1 AS (SELECT b AS path, 1 AS d FROM w JOIN u ON a = path), d2 AS (SELECT b AS path, 2 AS d FROM d1 JOIN u ON a = path), d3 AS (SELECT b AS path, 3 AS d FROM d2 JOIN u ON a = path),
- d4 AS (SELECT b AS path, 4 AS d FROM (SELECT DISTINCT path FROM d3) JOIN u ON a = path), d5 AS (SELECT b AS path, 5 AS d FROM (SELECT DISTINCT path FROM d4) JOIN u ON a = path), d6 AS (SELECT b AS path, 6 AS d FROM (SELECT DISTINCT path FROM d5) JOIN u ON a = path),
- dist AS (SELECT path, min(d) AS distance FROM (SELECT * FROM w UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d5 UNION ALL SELECT * FROM d6) GROUP BY path)"""
-
-
-#: The same without a bound on hops: a path stands once, at the first round that reaches it, and rounds end when none adds a path.
-WALK_ALL = f""", {FILES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+#: Distances over all hops: a path stands once, at the first round that reaches it, and rounds end when none adds a path.
+WALK = f""", {FILES}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
  dist(path, distance) USING KEY (path) AS (SELECT path, 0 FROM f WHERE ord % 97 = 0
   UNION SELECT b, min(distance) + 1 FROM dist JOIN u ON a = path WHERE NOT EXISTS (FROM recurring.dist r WHERE r.path = b) GROUP BY b)"""
 
 
-def walk(spark, sf_dir, max_hops=None):
+def walk(spark, sf_dir):
     f = files(spark, sf_dir)
-    return graph.distances(graph.edges(f), f.filter("ord % 97 = 0").select("bundle_id", "path"), max_hops)
-
+    return graph.distances(graph.edges(f), f.filter("ord % 97 = 0").select("bundle_id", "path"))
 
-def over_all_hops(oracle: str) -> str:
-    """An oracle over WALK, over WALK_ALL instead."""
-    return oracle.replace(WALK, WALK_ALL).replace("WITH ", "WITH RECURSIVE ", 1)
 
+def recursive(oracle: str) -> str:
+    return oracle.replace("WITH ", "WITH RECURSIVE ", 1)
 
-DISTANCES = with_items("SELECT 1").replace(" SELECT 1", WALK + " SELECT path, distance FROM dist")
 
-
-@query(DISTANCES)
+@query(recursive(with_items("SELECT 1").replace(" SELECT 1", WALK + " SELECT path, distance FROM dist")))
 def g8_j6_distances(spark, sf_dir):
-    """Up to six hops, as far as its SQL goes; g8_j6_all_distances has all."""
-    return walk(spark, sf_dir, 6).select("path", "distance")
-
-
-@query(over_all_hops(DISTANCES))
-def g8_j6_all_distances(spark, sf_dir):
     return walk(spark, sf_dir).select("path", "distance")
 
 
@@ -76,23 +60,26 @@ def scored(spark, sf_dir, reached):
     return found.select("ord", graph.score(F.col("distance"), own, F.col("kind"), F.col("role"), F.col("has_constraint")).alias("score"))
 
 
-@query(SCORES)
+@query(recursive(SCORES))
 def p24_j5_j7_scores(spark, sf_dir):
-    """With distances of up to six hops, as far as its SQL goes; p24_j5_j7_all_scores has all."""
-    return scored(spark, sf_dir, walk(spark, sf_dir, 6))
+    return scored(spark, sf_dir, walk(spark, sf_dir))
 
 
-@query(over_all_hops(SCORES))
-def p24_j5_j7_all_scores(spark, sf_dir):
-    return scored(spark, sf_dir, walk(spark, sf_dir))
+STATUS = "SELECT ord, concat(CASE ord % 4 WHEN 0 THEN ' M' WHEN 1 THEN '??' WHEN 2 THEN 'R ' ELSE '  ' END, ' ', CASE ord % 4 WHEN 1 THEN concat('\"./', path, '\"') WHEN 2 THEN concat('old.py -> ', path) ELSE path END) AS line FROM {items} WHERE path IS NOT NULL"
+LOG = "SELECT CAST(ord % 9 AS BIGINT) AS commit, path FROM {items} WHERE path IS NOT NULL AND ord % 3 < 2"
 
 
-@query(with_items("SELECT path, code, 'dirty' AS state FROM (SELECT path, CASE ord % 3 WHEN 0 THEN ' M' WHEN 1 THEN '??' ELSE 'R ' END AS code FROM items WHERE path IS NOT NULL)"))
+@query(
+    with_items(
+        rf"""SELECT path, code, 'dirty' AS state, NULL::BIGINT AS age FROM (SELECT left(line, 2) AS code, regexp_replace(trim(string_split(substr(line, 4), '->')[-1], ' "'), '^(\./)+', '') AS path FROM ({STATUS.replace('{items}', 'items')})) WHERE code <> '  '
+ UNION ALL SELECT path, NULL, 'recent', min(commit) FROM ({LOG.replace('{items}', 'items')}) l WHERE commit < 5 AND NOT EXISTS (SELECT 1 FROM ({STATUS.replace('{items}', 'items')}) s WHERE left(s.line, 2) <> '  ' AND contains(s.line, l.path)) GROUP BY path"""
+    )
+)
 def g9_workspace_status(spark, sf_dir):
-    code = F.expr("CASE ord % 3 WHEN 0 THEN ' M' WHEN 1 THEN '??' ELSE 'R ' END")
-    name = F.when(F.expr("ord % 3 = 2"), F.concat(F.lit("old.py -> "), "path")).when(F.expr("ord % 3 = 1"), F.concat(F.lit('"./'), "path", F.lit('"'))).otherwise(F.col("path"))
-    lines = items(spark, sf_dir).filter("path IS NOT NULL").select(F.concat(code, F.lit(" "), name).alias("line"))
-    return graph.workspace_status(lines)
+    """Porcelain lines of four kinds and the files of nine commits, of which five count."""
+    items(spark, sf_dir).createOrReplaceTempView("tersa_status_items")
+    of = lambda sql: spark.sql(sql.replace("{items}", "tersa_status_items"))
+    return graph.workspace_status(of(STATUS).select("line"), of(LOG))
 
 
 @query(with_items("SELECT ord, CASE WHEN language = 'python' THEN 'fn_' || ord ELSE 'fn_' || ord || '|limit_' || ord END AS exported FROM items WHERE content_type = 'code'"))

@@ -36,24 +36,26 @@ def s18_j13_dropped(spark, sf_dir):
     return lookups.dropped(before, before.filter("ord % 4 <> 0")).select("bundle_id", "item_id", "path")
 
 
-@query(with_items("SELECT item_id, CASE WHEN path IS NOT NULL AND ord % 3 <> 1 THEN 'path' ELSE 'id' END AS how, item_id AS base_id FROM items WHERE NOT (path IS NULL AND ord % 12 = 0) AND NOT (path IS NOT NULL AND ord % 3 = 1 AND ord % 12 = 0)"))
+BASE = "SELECT CASE WHEN ord % 12 = 0 THEN 'old-' || item_id ELSE item_id END AS base_id, CASE WHEN ord % 3 <> 1 THEN path END AS base_path, ord AS base_ord FROM items"
+
+
+@query(with_items(f"SELECT item_id, how, base_id FROM (SELECT item_id, how, base_id, row_number() OVER (PARTITION BY item_id ORDER BY rank, base_ord) AS n FROM (SELECT item_id, 0 AS rank, 'path' AS how, base_id, base_ord FROM items JOIN ({BASE}) ON path = base_path UNION ALL SELECT item_id, 1, 'id', base_id, base_ord FROM items JOIN ({BASE}) ON item_id = base_id)) WHERE n = 1"))
 def j3_base_version(spark, sf_dir):
     now = items(spark, sf_dir)
     base = now.select("item_id", F.when(F.expr("ord % 3 <> 1"), F.col("path")).alias("path"), F.lit(None).cast("string").alias("origin"), "content", "ord")
     base = base.withColumn("item_id", F.when(F.expr("ord % 12 = 0"), F.concat(F.lit("old-"), "item_id")).otherwise(F.col("item_id")))
-    found = lookups.base_versions(now.withColumn("origin", F.lit(None).cast("string")), base)
-    return found.select("item_id", "how", F.regexp_replace("base_id", "^old-", "").alias("base_id"))
+    return lookups.base_versions(now.withColumn("origin", F.lit(None).cast("string")), base).select("item_id", "how", "base_id")
 
 
-@query(with_items("SELECT ord, ref, content AS found FROM (SELECT ord, left(sha256(content), 12) AS ref, content FROM items WHERE ord % 2 = 0)"))
+@query(with_items("SELECT ord, ref, content AS found FROM (SELECT ord, left(sha256(content), 12) AS ref, content FROM items)"))
 def j8_h1_prefix_lookup(spark, sf_dir):
     i = items(spark, sf_dir)
     blocks = lookups.blocks(i.select("content"))
-    marked = i.filter("ord % 2 = 0").select("ord", F.substring(text.content_hash(F.col("content")), 1, 12).alias("ref"))
+    marked = i.select("ord", F.substring(text.content_hash(F.col("content")), 1, 12).alias("ref"))
     return lookups.resolve_refs(marked, blocks).select("ord", "ref", F.col("block").alias("found"))
 
 
-@query(with_items("SELECT ord, left(sha256(content), 12) AS ref FROM items WHERE ord % 5 = 0"))
+@query(with_items("SELECT ord, left(sha256(content), 12) AS ref FROM items i WHERE NOT EXISTS (SELECT 1 FROM items b WHERE b.ord % 5 <> 0 AND b.content = i.content)"))
 def j10_missing_blocks(spark, sf_dir):
     i = items(spark, sf_dir)
     blocks = lookups.blocks(i.filter("ord % 5 <> 0").select("content"))
@@ -61,11 +63,15 @@ def j10_missing_blocks(spark, sf_dir):
     return lookups.missing_refs(marked, blocks).select("ord", "ref")
 
 
-@query(with_items("SELECT ord, concat('a ', content, ' b') AS restored FROM items WHERE content_type IN ('code', 'logs')"))
+@query(with_items("SELECT ord, CASE WHEN ord % 4 = 3 THEN content WHEN ord % 9 = 0 THEN concat('a <BLOCK_HASH:', repeat('0', 64), '> b') ELSE concat('a ', content, ' b') END AS restored FROM items"))
 def h2_h3_rehydrate(spark, sf_dir):
-    i = items(spark, sf_dir).filter("content_type IN ('code', 'logs')")
-    marker = F.when(F.expr("ord % 2 = 0"), text.elision_marker(F.col("content"), text.noun(F.col("content_type")))).otherwise(text.session_marker(F.col("content"), F.col("kind")))
-    elided = i.select("ord", F.concat(F.lit("a "), marker, F.lit(" b")).alias("content"))
+    """All items behind markers of three syntaxes, whole ones wrapped as JSON, and some that no store knows."""
+    i = items(spark, sf_dir)
+    marker = text.elision_marker(F.col("content"), text.noun(F.col("content_type")))
+    kind = F.expr("ord % 4")
+    block = F.concat(F.lit("<BLOCK_HASH:"), text.content_hash(F.col("content")), F.lit(">"))
+    some = F.when(F.expr("ord % 9 = 0"), F.lit(f"<BLOCK_HASH:{'0' * 64}>")).when(kind == 0, marker).when(kind == 1, text.session_marker(F.col("content"), F.col("kind"))).otherwise(block)
+    elided = i.select("ord", F.when(kind == 3, text.wrap_json_marker(marker)).otherwise(F.concat(F.lit("a "), some, F.lit(" b"))).alias("content"))
     return lookups.rehydrate(elided, lookups.blocks(i.select("content")), ["ord"]).select("ord", F.col("content").alias("restored"))
 
 
@@ -107,11 +113,7 @@ def s5_chat_payload(spark, sf_dir):
 
 @query(with_items("SELECT bundle_id, count(*) AS n_items, sha256(string_agg(sha256(content), ',' ORDER BY ord)) AS bundle_hash, left(string_agg(content, chr(10) ORDER BY ord), 80) AS preview FROM items GROUP BY bundle_id"))
 def p30_bundle_assembly(spark, sf_dir):
-    i = items(spark, sf_dir).withColumn("h", text.content_hash(F.col("content")))
-    ordered = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("ord", name))), lambda x: x[name])
-    short = i.withColumn("start", F.substring("content", 1, 80))
-    first = F.substring(F.array_join(F.slice(ordered("start"), 1, 80), "\n"), 1, 80)
-    return short.groupBy("bundle_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(ordered("h"), ","), 256).alias("bundle_hash"), first.alias("preview"))
+    return lookups.assemble(items(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS so_far FROM conversations")

@@ -23,7 +23,17 @@ def s6_messages_with_system(spark, sf_dir):
     return chat_items(c.groupBy("conv_id").agg(system.alias("system"), said.alias("messages")).select("conv_id", F.to_json(F.struct("system", "messages")).alias("body")), ["conv_id"]).drop("structured")
 
 
-@query(with_items("SELECT ord, coalesce(language = 'python', false) AS is_python FROM items"))
+PY = {k: getattr(classify, k).replace("'", "''") for k in ("PY_STRONG", "PY_WEAK", "PY_NOT")}
+PY_LINES = r"list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^[ \t]*#'))"
+PY_OTHERS = f"list_filter(l, lambda x: NOT regexp_matches(x, '{PY['PY_NOT']}'))"
+
+
+@query(
+    with_items(
+        f"""SELECT ord, strong >= 2 AND (strong + weak) * 100 >= n * 15 AND (n - len(o)) * 10 < n AS is_python FROM (SELECT ord, o, len(l) AS n, len(list_filter(o, lambda x: regexp_matches(x, '{PY['PY_STRONG']}'))) AS strong,
+ len(list_filter(o, lambda x: NOT regexp_matches(x, '{PY['PY_STRONG']}') AND regexp_matches(x, '{PY['PY_WEAK']}'))) AS weak FROM (SELECT ord, l, {PY_OTHERS} AS o FROM (SELECT ord, {PY_LINES} AS l FROM items)))"""
+    )
+)
 def p12_python_probe(spark, sf_dir):
     """Counts of lines choose candidates, the balance check confirms them; only candidates reach Python."""
     i = items(spark, sf_dir).select("ord", "content", classify.may_be_python(F.col("content")).alias("maybe"))
@@ -67,35 +77,86 @@ def b1_fixture_evaluation(spark, sf_dir):
 @query("SELECT source AS bucket, path, size, sha256 FROM (SELECT source, 'd/' || doc_id AS path, strlen(text) AS size, sha256(text) AS sha256, row_number() OVER (PARTITION BY source ORDER BY 'd/' || doc_id) AS n FROM documents WHERE strlen(text) BETWEEN 100 AND 5000) WHERE n <= 10")
 def s20_corpus_freeze(spark, sf_dir):
     """The first ten texts by path of each bucket, within sizes, with their hashes: the limit is the feature."""
-    from pyspark.sql import Window
+    from tersa.sources.files import freeze
+
+    return freeze(as_files(spark, sf_dir), 10, 100, 5000)
 
+
+def as_files(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    f = d.select(F.col("source").alias("bucket"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256")).filter("size BETWEEN 100 AND 5000")
-    return f.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("path"))).filter("n <= 10").drop("n")
+    return d.select(F.col("source").alias("bucket"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("bytes"))
+
 
+@query("SELECT 'd/' || doc_id AS path, CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'changed' ELSE 'unlisted' END AS problem FROM documents WHERE doc_id % 5 IN (0, 1) OR doc_id % 7 = 3")
+def s21_manifest_verify(spark, sf_dir):
+    """Files that went, changed, or came since the manifest was written."""
+    from tersa.sources.files import manifest, verify
+
+    f = as_files(spark, sf_dir)
+    n = F.substring("path", 3, 20).cast("long")
+    listed = manifest(f.filter((n % 7 != 3) | (n % 5).isin(0, 1)))
+    now = f.filter(n % 5 != 0).withColumn("bytes", F.when(n % 5 == 1, F.concat("bytes", F.lit("!").cast("binary"))).otherwise(F.col("bytes")))
+    return verify(listed, now)
+
+
+@query("SELECT doc_id, 'd/' || doc_id || '.md' AS path, sha256(text) AS sha256, true AS representable, 'markdown' AS content_type FROM documents")
+def s1_s2_s13_folder_round_trip(spark, sf_dir):
+    """Texts written as files to the shared folder and scanned as items: bytes, names, types."""
+    from tersa.sources.files import as_items, scan, write_files
+    from tersa.storage import fresh_path
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = fresh_path(spark, "folder")
+    write_files(d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").cast("binary").alias("bytes")), folder)
+    i = as_items(scan(spark, folder))
+    name = F.element_at(F.split("path", "/"), -1)
+    return i.select(F.regexp_extract(name, r"^(\d+)", 1).cast("long").alias("doc_id"), F.concat(F.lit("d/"), name).alias("path"), F.sha2("bytes", 256).alias("sha256"), "representable", "content_type")
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 2 = 1) AS n_changes, coalesce(string_agg(nth || ':' || left(text, 5), '|' ORDER BY nth) FILTER (turn % 2 = 1 AND left(text, 5) <> text), '') AS changes FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations) GROUP BY conv_id".replace("count(*) FILTER (turn % 2 = 1)", "count(*) FILTER (turn % 2 = 1 AND left(text, 5) <> text)"))
+def j12_slots(spark, sf_dir):
+    """Every other message of a payload is shortened; the changes come back by slot."""
+    from tersa.operators.lookups import by_slot
+    from tersa.sources.payloads import chat_items
+
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    body = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages")))
+    payloads = c.groupBy("conv_id").agg(body.alias("body"), F.sort_array(F.collect_list("turn")).alias("turns"))
+    i = chat_items(payloads, ["conv_id"]).join(payloads.select("conv_id", "turns"), "conv_id").withColumnRenamed("content", "original_content")
+    odd = F.col("turns")[F.col("slot").cast("int")] % 2 == 1
+    final = i.withColumn("content", F.when(odd, F.substring("original_content", 1, 5)).otherwise(F.col("original_content")))
+    back = by_slot(payloads.select("conv_id", "body"), final, ["conv_id"])
+    return back.select("conv_id", F.size("changes").cast("long").alias("n_changes"), F.array_join(F.transform("changes", lambda x: F.concat(x["slot"].cast("string"), F.lit(":"), x["new"])), "|").alias("changes"))
+
+
+@query(with_items(f"SELECT ord, contains(c, '[tersa') OR contains(c, '<BLOCK_HASH:') AS already, regexp_matches(c, '^\\s*\\[\\s*\\{{') AS structured FROM (SELECT ord, CASE ord % 4 WHEN 0 THEN 'see ' || {MARK} WHEN 1 THEN '<BLOCK_HASH:' || sha256(content) || '>' WHEN 2 THEN '[' || '{{\"type\": \"text\"}}' || ']' ELSE content END AS c FROM items)".replace("{{", "{").replace("}}", "}")))
+def f3_f4_guards(spark, sf_dir):
+    """Items that hold markers of old, and items of blocks, are never elided."""
+    from tersa.operators.elision import eligibility
+
+    i = items(spark, sf_dir)
+    marker = text.elision_marker(F.col("content"), text.noun(F.col("content_type")))
+    kind = F.expr("ord % 4")
+    c = F.when(kind == 0, F.concat(F.lit("see "), marker)).when(kind == 1, F.concat(F.lit("<BLOCK_HASH:"), text.content_hash(F.col("content")), F.lit(">"))).when(kind == 2, F.lit('[{"type": "text"}]')).otherwise(F.col("content"))
+    e = eligibility(i.withColumn("content", c))
+    return e.select("ord", "already", "structured")
 
-@query(with_items("SELECT ord, ref, n FROM (SELECT ord, left(sha256(content), 12) AS ref, 1 AS n FROM items WHERE content_type = 'logs')"))
+
+@query(with_items("SELECT ord, left(sha256(content), 12) AS ref, 1 AS n FROM items"))
 def p22_json_markers(spark, sf_dir):
     """Markers wrapped as JSON and unwrapped again."""
-    i = items(spark, sf_dir).filter("content_type = 'logs'")
+    i = items(spark, sf_dir)
     wrapped = i.select("ord", text.wrap_json_marker(text.elision_marker(F.col("content"), text.noun(F.col("content_type")))).alias("j"))
     refs = text.marker_refs(text.unwrap_json_marker(F.col("j")))
     return wrapped.select("ord", F.element_at(refs, 1).alias("ref"), F.size(refs).alias("n"))
 
 
-@query(with_items("SELECT bundle_id, CAST(0 AS BIGINT) AS no_savings, CAST(0 AS BIGINT) AS structured_content, count(*) FILTER (content_type = 'code' OR regexp_matches(content, 'def\\s+[A-Za-z_]|(class|interface|type|enum|struct)\\s+[A-Za-z_$]|function\\s+[A-Za-z_$]|(public|private|protected|async|static|get|set)\\s+[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(')) AS has_symbols FROM items WHERE length(content) > 90 GROUP BY bundle_id"))
-def a17_skip_reasons(spark, sf_dir):
-    from tersa.plans.stages import skip_reasons
-
-    return skip_reasons(items(spark, sf_dir).filter("length(content) > 90")).drop("tokens_at_stake")
-
-
 SYMBOLS_SQL = "content_type = 'code' OR regexp_matches(content, 'def\\s+[A-Za-z_]|(class|interface|type|enum|struct)\\s+[A-Za-z_$]|function\\s+[A-Za-z_$]|(public|private|protected|async|static|get|set)\\s+[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(')"
 
 
 @query(with_items(f"SELECT bundle_id, count(*) FILTER (NOT saves) AS no_savings, count(*) FILTER (structured) AS structured_content, count(*) FILTER (saves AND NOT structured AND ({SYMBOLS_SQL})) AS has_symbols FROM (SELECT *, length({MARK}) < length(content) AS saves, regexp_matches(content, '^\\s*\\[\\s*\\{{') AS structured FROM items) GROUP BY bundle_id"))
-def a17_all_skip_reasons(spark, sf_dir):
-    """All items, with the short ones that a17_skip_reasons and its SQL leave out, so that markers may save nothing."""
+def a17_skip_reasons(spark, sf_dir):
+    """All items, short ones too, of which markers save nothing."""
     from tersa.plans.stages import skip_reasons
 
     return skip_reasons(items(spark, sf_dir)).drop("tokens_at_stake")
@@ -112,21 +173,9 @@ def k4_a18_t2_prune(spark, sf_dir):
     return mean_distance(prune(i, changed, status, 0.4))
 
 
-@query(with_items("SELECT item_id, content_type = 'markdown' OR content_type = 'text' AS same FROM items WHERE content_type IN ('markdown', 'text', 'logs') AND length(content) > 400"))
-def t4_delta(spark, sf_dir):
-    """Logs gain a line over their base version, long ones by a shorter delta; the others are as they were."""
-    from tersa.plans.stages import delta
-
-    i = items(spark, sf_dir).filter("content_type IN ('markdown', 'text', 'logs') AND length(content) > 400").withColumn("origin", F.lit(None).cast("string"))
-    now = i.withColumn("content", F.when(F.col("content_type") == "logs", F.concat("content", F.lit("\n12:00:00 INFO end"))).otherwise(F.col("content")))
-    # the context of a one-line log is the log itself, so a delta saves nothing and the item is left as it is
-    d = delta(now, i).join(now.select("item_id", "content_type"), "item_id")
-    return d.select("item_id", ((F.col("content_type") != "logs") & F.col("delta").isNull()).alias("same"))
-
-
 @query(with_items("SELECT item_id, content_type = 'markdown' OR content_type = 'text' AS same FROM items WHERE content_type IN ('markdown', 'text', 'logs')"))
-def t4_all_delta(spark, sf_dir):
-    """As t4_delta, with items of all lengths: the operator decides whether a delta saves."""
+def t4_delta(spark, sf_dir):
+    """Logs gain a line over their base version; the operator decides whether a delta saves."""
     from tersa.plans.stages import delta
 
     i = items(spark, sf_dir).filter("content_type IN ('markdown', 'text', 'logs')").withColumn("origin", F.lit(None).cast("string"))

@@ -38,15 +38,42 @@ def as_items(files: DataFrame, bundle_id: int = 0) -> DataFrame:
     )
 
 
-def freeze(files: DataFrame, bucket: str, limit: int, least: int = 0, most: int = 1 << 30) -> DataFrame:
-    """Manifest: bucket, path, size, sha256 of the first `limit` files by path within the sizes."""
-    sized = files.withColumn("size", F.octet_length("bytes")).filter(F.col("size").between(least, most))
-    return sized.select(F.lit(bucket).alias("bucket"), "path", "size", F.sha2("bytes", 256).alias("sha256")).orderBy("path").limit(limit)
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write each row's bytes to its path below folder, as they are; a task that runs again writes the same files again."""
 
+    def run(batches):
+        from pyarrow import fs
 
-def verify(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """path, problem of files that differ from the manifest or are gone."""
+        uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+        system, root = fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file:///") else uri.replace("file:/", "file:///", 1))
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns)):
+                system.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{root}/{path}", compression=None) as f:
+                    f.write(data or b"")
+            yield batch.slice(0, 0).select([0])
+
+    files.select("path", "bytes").mapInArrow(run, "path string").count()
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """path, size, sha256 (and bucket, if files have one) of all files."""
+    bucket = [c for c in files.columns if c == "bucket"]
+    return files.select(*bucket, "path", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+
+
+def freeze(files: DataFrame, limit: int, least: int = 0, most: int = 1 << 30, expect: int | None = None) -> DataFrame:
+    """Manifest of the first `limit` files by path of each bucket, within the sizes; ValueError if they are not as many as expected."""
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("path"))
+    found = manifest(files).filter(F.col("size").between(least, most)).withColumn("nth", nth).filter(F.col("nth") <= limit).drop("nth")
+    if expect is not None and (n := found.count()) != expect:
+        raise ValueError(f"{n} files, not {expect}")
+    return found
+
+
+def verify(manifest_: DataFrame, files: DataFrame) -> DataFrame:
+    """path, problem of files that differ from the manifest, are gone, or are not in it."""
     now = files.select("path", F.sha2("bytes", 256).alias("now"))
-    joined = manifest.join(now, "path", "left")
-    problem = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")
+    joined = manifest_.select("path", "sha256").join(now, "path", "full")
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("now") != F.col("sha256"), "changed")
     return joined.select("path", problem.alias("problem")).filter("problem IS NOT NULL")
