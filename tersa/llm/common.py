@@ -93,8 +93,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
     if least >= LEAST_HOT:  # below, any task can take what a key has
         per = counts if counts is not None else left.groupBy(key).agg(F.count("*").alias("n"))
         hot = per.filter(F.col(key).isNotNull() & (F.col("n") > least)).select(key, "n").collect()  # less than HOT_SHARE rows
-    if not hot and how != "left":
-        return left.join(right, key, how)
+    # the plan is the same whether or not there are such keys
     levels: dict[int, list] = {}
     for k, n in hot:
         levels.setdefault(1 << (-(-n // least) - 1).bit_length(), []).append(bytes(k) if isinstance(k, bytearray) else k)
