@@ -11,10 +11,11 @@ from tersa.functions.text import ascii_bounds, strip
 KEYWORD = r"(?i)\b(must(?:\s+not)?|never|always|only\s+if|do\s+not|required|except\s+when|make\s+sure\s+to|critical)\b"
 MAY_NARRATE = r"(?:never|always)"
 PAST = (
-    "did was were had got made took ran read said meant came went saw knew found left felt kept held told became began broke brought built chose drew drove fell flew"
-    " gave grew hit lay led lost met paid put sent set shot shut sold spent stood struck swore threw understood withdrew wrote worked wanted needed existed reached"
-    " shipped fired failed passed stopped started used"
-).split()
+    "did", "was", "were", "had", "got", "made", "took", "ran", "read", "said", "meant", "came", "went", "saw", "knew", "found", "left", "felt",
+    "kept", "held", "told", "became", "began", "broke", "brought", "built", "chose", "drew", "drove", "fell", "flew", "gave", "grew", "hit", "lay",
+    "led", "lost", "met", "paid", "put", "sent", "set", "shot", "shut", "sold", "spent", "stood", "struck", "swore", "threw", "understood",
+    "withdrew", "wrote", "worked", "wanted", "needed", "existed", "reached", "shipped", "fired", "failed", "passed", "stopped", "started", "used",
+)
 NARRATIVE = rf"(?i)\b(?:have|has|had)\s+(?:\w+\s+){{0,2}}{MAY_NARRATE}\b|\b{MAY_NARRATE}\s+(?:have|has|had)\b|\b{MAY_NARRATE}\s+(?:\w+ed|{'|'.join(PAST)})\b"
 PROSE_TYPES = ("text", "markdown", "logs", "unknown")
 SEGMENT = r"([^.!?;]+[.!?;]?)"

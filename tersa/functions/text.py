@@ -167,9 +167,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 #: Words that are no identifiers of a prompt's own, in any case.
-RESERVED = tuple(
-    "def class import from return function export const let var if else for while in and or not true false none null undefined type interface public"
-    " private protected async await str int float bool list dict set tuple any string number boolean void".split()
+RESERVED = (
+    "def", "class", "import", "from", "return", "function", "export", "const", "let", "var", "if", "else", "for", "while", "in", "and", "or", "not",
+    "true", "false", "none", "null", "undefined", "type", "interface", "public", "private", "protected", "async", "await", "str", "int", "float",
+    "bool", "list", "dict", "set", "tuple", "any", "string", "number", "boolean", "void",
 )
 
 
