@@ -131,6 +131,15 @@ def wire_metrics(before: Column, after: Column) -> tuple[Column, Column]:
     return saved, F.when(before > 0, saved / before).otherwise(F.lit(0.0))
 
 
+def round_scaled(value: Column, places: int) -> Column:
+    """The double times 10^places, rounded with halves away from zero, and scaled back.
+
+    DuckDB's round() does so on doubles; Spark's rounds the shortest decimal form, which differs at ties that doubles cannot hold.
+    """
+    scale = F.lit(10.0**places)
+    return F.round(value * scale) / scale
+
+
 def percent(share: Column) -> Column:
-    """A share as text with two places."""
-    return F.concat(F.format_number(share * 100, 2), F.lit("%"))
+    """A share as text with two places, halves away from zero; format_number alone takes them to the even digit."""
+    return F.concat(F.format_number(round_scaled(share * 100, 2), 2), F.lit("%"))

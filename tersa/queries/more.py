@@ -46,7 +46,7 @@ def p25_p29_wire_metrics(spark, sf_dir):
     half = F.expr("left(content, length(content) DIV 2)")
     i = items(spark, sf_dir).select("ord", token_estimate(F.col("content")).alias("before"), token_estimate(half).alias("after"))
     saved, ratio = metrics.wire_metrics(F.col("before"), F.col("after"))
-    return i.select("ord", saved.alias("saved"), F.round(ratio, 9).alias("ratio"), metrics.percent(ratio).alias("said"))
+    return i.select("ord", saved.alias("saved"), metrics.round_scaled(ratio, 9).alias("ratio"), metrics.percent(ratio).alias("said"))
 
 
 @query(with_items("SELECT bundle_id, count(*) FILTER (content_type = 'code') AS checked, count(*) FILTER (content_type <> 'code') AS unchecked, array_to_string(list_sort(list(DISTINCT content_type) FILTER (content_type <> 'code')), ',') AS unchecked_types, array_to_string(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), ',') AS languages, true AS reducible FROM items GROUP BY bundle_id"))

@@ -427,3 +427,36 @@ def test_p95_by_counts(spark):
     want = {(0, g, h): of([x[2] for x in rows if x[:2] == (g, h)]) for g, h in {x[:2] for x in rows}}
     want |= {(1, g, None): of([x[2] for x in rows if x[0] == g]) for g in {x[0] for x in rows}} | {(3, None, None): of([x[2] for x in rows])}
     assert got == want
+
+
+def test_percent_rounds_ties_as_sql(spark):
+    import duckdb
+
+    from tersa.operators.metrics import percent, wire_metrics
+
+    # every share at a tie of two places, whether doubles hold it (17/32) or not (29/20000), and what is no tie
+    pairs = [(2 * n + 1, 20000) for n in range(10000)] + [(17, 32), (401, 800), (1, 3), (0, 7), (7, 7)]
+    df = spark.createDataFrame(pairs, "saved long, before long")
+    _, ratio = wire_metrics(F.col("before"), F.col("before") - F.col("saved"))
+    got = {(r.saved, r.before): r.said for r in df.select("saved", "before", percent(ratio).alias("said")).collect()}
+    sql = "SELECT format('{:.2f}%', round(s / b * 100, 2)) FROM (SELECT unnest(?::BIGINT[]) AS s, unnest(?::BIGINT[]) AS b)"
+    want = [r[0] for r in duckdb.execute(sql, [[s for s, _ in pairs], [b for _, b in pairs]]).fetchall()]
+    assert [got[p] for p in pairs] == want
+    assert got[17, 32] == "53.13%" and got[401, 800] == "50.13%" and got[1, 3] == "33.33%"
+    assert df.select(percent(F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_wire_metrics_query_on_ties(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # some save 17 tokens of 32, a tie at two places of the percentage; one saves 2,579 of 5,120, a tie at nine places of the ratio
+    texts = [(6 * n, "x" * n) for n in range(80, 110)] + [(6 * n + 1, "x" * 23000 + "é" * n) for n in range(30, 50)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["p25_p29_wire_metrics"](spark, str(tmp_path)).toPandas().sort_values("ord")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(entry.oracle_sql()["p25_p29_wire_metrics"]).df().sort_values("ord")
+    assert got[["ord", "saved", "ratio", "said"]].values.tolist() == want[["ord", "saved", "ratio", "said"]].values.tolist()
+    assert "53.13%" in set(got["said"]) and 0.503710937 in set(got["ratio"])
