@@ -3,9 +3,9 @@
 Words are counted over all documents; the frequent ones, and those that the tokenizer knows whole, are compiled with their
 ids into a minimal acyclic transducer: states with equal continuations are shared (Daciuk's construction over sorted words),
 and each arc carries the number of words that sort before it, so that the sum along a word is its rank, and the rank finds
-its ids. The arrays are one file, which SparkFiles brings to each executor, where it is mapped, not loaded. Words outside
-the lexicon are merged exactly, pair by pair. What a worker remembers of words met before is bounded by CACHE entries
-beside those of the batch at hand.
+its ids. These arrays, the merges and the tokens' bytes are one file, which SparkFiles brings to each executor, where it is
+mapped, not loaded. Words outside the lexicon are merged exactly, pair by pair. What a worker remembers of words met before
+is bounded by CACHE entries beside those of the batch at hand.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from tersa.llm.store import place
 #: The pre-tokenizer's pattern (fixed values); L and N stand for the Unicode classes of letters and numbers.
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 CACHE, WIDE = 300_000, 32
+#: Pairs of long words that a worker remembers, and ids that are decoded at once.
+PAIRS_MET, DECODED = 16_384, 65_536
 #: Frequent words of a corpus that are compiled, at most; longer words, in bytes, are always merged.
 FREQUENT, LONGEST = 65_536, 64
 
@@ -50,6 +52,24 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """One file: a JSON line with the arrays' places, then the arrays, each at a multiple of 8 bytes."""
+    at, head = 0, {}
+    for name, a in arrays.items():
+        head[name] = [a.dtype.str, len(a), at]
+        at += -(-a.nbytes // 8) * 8
+    line = json.dumps(head).encode().ljust(1023) + b"\n"
+    return line + b"".join(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in arrays.values())
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of such a file; their pages stay the file's."""
+    with open(path, "rb") as f:
+        head = json.loads(f.read(1024))
+    whole = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
+    return {n: whole[1024 + at : 1024 + at + size * np.dtype(kind).itemsize].view(kind) for n, (kind, size, at) in head.items()}
+
+
 class Transducer:
     """A minimal acyclic automaton over bytes in arrays: arcs sorted by (state, byte), each with a target and a skip count."""
 
@@ -126,21 +146,6 @@ class Transducer:
             }
         )
 
-    def packed(self) -> bytes:
-        """One file: a JSON line with the arrays' places, then the arrays, each at a multiple of 8 bytes."""
-        arrays, at, head = {n: getattr(self, n) for n in self.FIELDS}, 0, {}
-        for name, a in arrays.items():
-            head[name] = [a.dtype.str, len(a), at]
-            at += -(-a.nbytes // 8) * 8
-        line = json.dumps(head).encode().ljust(1023) + b"\n"
-        return line + b"".join(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0") for a in arrays.values())
-
-    @classmethod
-    def map(cls, path: str) -> Transducer:
-        with open(path, "rb") as f:
-            head = json.loads(f.read(1024))
-        return cls({n: np.memmap(path, dtype=np.dtype(kind), mode="r", offset=1024 + at, shape=(size,)) for n, (kind, size, at) in head.items()})
-
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 for those outside; all words walk the automaton side by side, a byte at a time."""
         out = np.full(len(words), -1, np.int64)
@@ -168,10 +173,37 @@ class Transducer:
         return out
 
 
+class Pairs:
+    """Merges in arrays, which may be mapped: a << 32 | b of each pair, ascending, with rank << 32 | id of what it becomes."""
+
+    FIELDS = ("merges", "results")
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.merges, self.results = (arrays[n] for n in self.FIELDS)
+        self.met: dict[tuple[int, int], tuple[int, int, int, int] | None] = {}
+
+    @classmethod
+    def of(cls, pairs: dict[tuple[int, int], tuple[int, int, int, int]]) -> Pairs:
+        rows = sorted((a << 32 | b, p[0] << 32 | p[1]) for (a, b), p in pairs.items())
+        table = np.array([*rows, (np.iinfo(np.int64).max, 0)], np.int64)  # the last is found for all that are beyond
+        return cls({"merges": table[:, 0].copy(), "results": table[:, 1].copy()})
+
+    def get(self, pair: tuple[int, int]) -> tuple[int, int, int, int] | None:
+        """(rank, id, a, b) of one pair, None if it is no merge."""
+        if pair not in self.met:
+            if len(self.met) >= PAIRS_MET:
+                self.met.clear()
+            key = pair[0] << 32 | pair[1]
+            at = self.merges.searchsorted(key)
+            value = int(self.results[at])
+            self.met[pair] = (value >> 32, value & 0xFFFFFFFF, *pair) if self.merges[at] == key else None
+        return self.met[pair]
+
+
 class Merger:
     """Byte-pair merges of one word, lowest rank first, leftmost first among equals."""
 
-    def __init__(self, singles: list[int], pairs: dict[tuple[int, int], tuple[int, int, int, int]]):
+    def __init__(self, singles: list[int], pairs: dict[tuple[int, int], tuple[int, int, int, int]] | Pairs):
         self.singles, self.pairs = singles, pairs
 
     def __call__(self, word: bytes) -> list[int]:
@@ -219,20 +251,16 @@ class Merger:
 class ManyMerger:
     """Merger for many short words side by side, a merge of each word per round."""
 
-    def __init__(self, singles: list[int], pairs: dict[tuple[int, int], tuple[int, int, int, int]]):
+    def __init__(self, singles: list[int], pairs: dict[tuple[int, int], tuple[int, int, int, int]] | Pairs):
         self.singles = np.array(singles, np.int64)
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        values = np.array([p[:2] for p in pairs.values()], np.int64).reshape(-1, 2)[order]
-        self.rank, self.new = np.append(values[:, 0], 0), np.append(values[:, 1], 0)
+        self.pairs = pairs if isinstance(pairs, Pairs) else Pairs.of(pairs)
         self.none = np.iinfo(np.int64).max
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """rank << 32 | new id of each pair, or `none`."""
         key = np.where((a >= 0) & (b >= 0), a << 32 | (b & 0xFFFFFFFF), -1)
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.rank[at] << 32 | self.new[at], self.none)
+        at = np.searchsorted(self.pairs.merges, key)
+        return np.where(self.pairs.merges[at] == key, self.pairs.results[at], self.none)
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; words of like length go together."""
@@ -301,6 +329,12 @@ class Vocabulary:
         known = {w: [i] for i, w in self.bytes.items() if merge(w) == [i]}
         return known | {w: merge(w) for w in (p.encode() for p in pieces) if w not in known}
 
+    def tokens(self) -> dict[str, np.ndarray]:
+        """The bytes of all tokens, by id, and where each begins; special tokens stand for their own strings."""
+        of = self.bytes | {i: t.encode() for t, i in self.special.items()}
+        every = [of.get(i, b"") for i in range(max(of, default=-1) + 1)]
+        return {"token_data": np.frombuffer(b"".join(every), np.uint8), "token_starts": np.cumsum([0, *map(len, every)]).astype(np.int64)}
+
     def added_pattern(self) -> str | None:
         """The added tokens' strings, the longest first, with the white space or the bounds that their flags ask for."""
 
@@ -313,14 +347,15 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes texts; one per task."""
+    """Encodes and decodes texts by the arrays of a lexicon's file; one per task."""
 
-    def __init__(self, lexicon: Transducer, vocabulary: dict, cache: int = CACHE):
-        self.lexicon, self.cache_size = lexicon, cache
-        self.merge = Merger(vocabulary["singles"], vocabulary["pairs"])
-        self.merge_many = ManyMerger(vocabulary["singles"], vocabulary["pairs"])
+    def __init__(self, arrays: dict[str, np.ndarray], vocabulary: dict, cache: int = CACHE):
+        self.lexicon, self.cache_size = Transducer(arrays), cache
+        pairs = Pairs(arrays)
+        self.merge = Merger(vocabulary["singles"], pairs)
+        self.merge_many = ManyMerger(vocabulary["singles"], pairs)
         self.special = vocabulary["special"]
-        self.token = vocabulary["bytes"] | {i: t.encode() for t, i in self.special.items()}
+        self.token_data, self.token_starts = arrays["token_data"], arrays["token_starts"]
         self.narrow, self.wide = (re.compile(p).findall for p in vocabulary["patterns"])
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
         self.cut = re.compile(f"({vocabulary['added']})").split if vocabulary["added"] else None
@@ -360,9 +395,16 @@ class Encoder:
             out.append(",".join([s for k, some in enumerate(parts) if some for s in ([str(self.special[some] if some in self.special else self.special[some.strip()])] if k % 2 else [known[p] for p in some])]))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([self.token[i] for i in ids]).decode("utf-8", "replace")
+        out = []
+        for k in range(0, len(ids), DECODED):
+            some = ids[k : k + DECODED]
+            starts = self.token_starts[some]
+            lengths = self.token_starts[some + 1] - starts
+            ends = lengths.cumsum()
+            out.append(self.token_data[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[str]:
@@ -379,9 +421,9 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[str]:
 
 
 def prepare(spark: SparkSession, vocabulary_path: str, words: list[str] = ()):
-    """Compile the lexicon on the driver, add its file to SparkFiles and broadcast the vocabulary.
+    """Compile the lexicon on the driver, add its file with the vocabulary's arrays to SparkFiles and broadcast the patterns.
 
-    Both are bounded by the vocabulary file and the number of frequent words.
+    All are bounded by the vocabulary file and the number of frequent words.
     """
     v = Vocabulary(vocabulary_path)
     narrow, wide = pieces_pattern(0x10000), pieces_pattern(0x110000)
@@ -389,7 +431,8 @@ def prepare(spark: SparkSession, vocabulary_path: str, words: list[str] = ()):
     pieces = {p for w in words for p in find[bool(beyond(w))](f" {w}")}
     transducer = Transducer.build(v.lexicon(pieces))
     # a name per content, so that a worker that has the file never gets another under its name
-    data = transducer.packed()
+    pairs = Pairs.of(v.pairs)
+    data = packed({n: getattr(x, n) for x in (transducer, pairs) for n in x.FIELDS} | v.tokens())
     name = f"tersa-lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     if name not in getattr(spark, "_tersa_lexicons", set()):
         uri = f"{shared_dir(spark)}/{name}"
@@ -399,7 +442,7 @@ def prepare(spark: SparkSession, vocabulary_path: str, words: list[str] = ()):
             f.write(data)
         spark.sparkContext.addFile(uri)
         spark._tersa_lexicons = getattr(spark, "_tersa_lexicons", set()) | {name}
-    shared = spark.sparkContext.broadcast({"patterns": [narrow, wide], "singles": v.singles, "pairs": v.pairs, "special": v.special, "added": v.added_pattern(), "bytes": v.bytes})
+    shared = spark.sparkContext.broadcast({"patterns": [narrow, wide], "singles": v.singles, "special": v.special, "added": v.added_pattern()})
     return name, shared
 
 
@@ -412,11 +455,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, with_ids: bool = Fal
     name, shared = prepare(docs.sparkSession, vocabulary_path, frequent_words(docs))
 
     def make():
-        encoder = Encoder(Transducer.map(SparkFiles.get(name)), shared.value)
+        encoder = Encoder(mapped(SparkFiles.get(name)), shared.value)
 
         def step(doc_ids, texts):
             said = encoder.encode([t or "" for t in texts])
-            ids = [list(map(int, s.split(","))) if s else [] for s in said]
+            ids = [np.fromstring(s, np.int32, sep=",") for s in said]
             columns = [
                 doc_ids,
                 list(map(len, ids)),

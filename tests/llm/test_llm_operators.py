@@ -713,3 +713,31 @@ def test_scratch_tables_go(spark):
         t = storage.materialize(spark.range(5), "scratch")
         assert t.count() == 5 and os.path.isdir(t._tersa_path.removeprefix("file:"))
     assert not os.path.exists(t._tersa_path.removeprefix("file:"))
+
+
+def test_workers_map_the_vocabulary(spark, monkeypatch):
+    """Merges and tokens' bytes are read from the mapped file; what a worker loads beside it is small."""
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+    from pyspark import SparkFiles
+
+    name, shared = bpe.prepare(spark, vocabulary_path())
+    sent = pickle.dumps(shared.value)
+    assert len(sent) < 200_000  # with merges and tokens it was 1.8 MB, unpickled 24
+    tracemalloc.start()
+    e = bpe.Encoder(bpe.mapped(SparkFiles.get(name)), pickle.loads(sent))
+    assert tracemalloc.get_traced_memory()[0] < 4e6
+    tracemalloc.stop()
+    v = bpe.Vocabulary(vocabulary_path())
+    monkeypatch.setattr(bpe, "PAIRS_MET", 100)
+    r = random.Random(4)
+    assert all(e.merge.pairs.get(k) == p for k, p in v.pairs.items()) and len(e.merge.pairs.met) <= 100
+    assert all(e.merge.pairs.get(k) == v.pairs.get(k) for k in ((r.randrange(60_000), r.randrange(60_000)) for _ in range(2000)))
+    token = v.bytes | {i: t.encode() for t, i in v.special.items()}
+    for blocks in (1, 3, 65_536):
+        monkeypatch.setattr(bpe, "DECODED", blocks)
+        for n in (0, 1, 7, 300):
+            ids = r.choices(list(token), k=n)
+            assert e.decode(np.array(ids, np.int32)) == b"".join(token[i] for i in ids).decode("utf-8", "replace")
